@@ -38,6 +38,12 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, *write_records(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
