@@ -20,6 +20,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .unigram import encoded
+
+    return encoded(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
