@@ -82,6 +82,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 #: The alphabet of base 32, a fixed value.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
