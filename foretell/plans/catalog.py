@@ -1,13 +1,386 @@
-"""The registered queries of the library's own operators, each with its SQL where SQL can express it."""
+"""The registered queries of the library's own operators, each with its SQL where SQL can express it.
+
+Classification queries predict ``labels.quality`` of documents, regressions the retail price of every fifth part. The SQL
+states the same formulas over the same tables; floats are rounded on both sides, since sums run in another order. What is
+fitted by boosting has no SQL; tests hold it to bounds.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foretell.functions import numbers
+from foretell.operators import cluster as clusters
+from foretell.operators import conformal, explain, neighbors, predict, primitives, view
+from foretell.plans.encode import encode
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their quality label, null where it is not known."""
+    return _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts; the price of every fifth is to be predicted."""
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    return p.withColumn("price", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice"))).drop("p_retailprice")
+
+
+# SQL of the encoding and of the kernel
+
+ENCODED = """
+base AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)),
+vlang AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS code FROM (SELECT DISTINCT lang FROM base WHERE quality IS NOT NULL AND lang IS NOT NULL)),
+vsource AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS code FROM (SELECT DISTINCT source FROM base WHERE quality IS NOT NULL AND source IS NOT NULL)),
+enc AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS row_id, quality IS NOT NULL AS support, CAST(quality AS DOUBLE) AS y,
+         CAST(coalesce(vlang.code, (SELECT count(*) FROM vlang)) AS DOUBLE) AS x0,
+         CAST(coalesce(vsource.code, (SELECT count(*) FROM vsource)) AS DOUBLE) AS x1, CAST(n_chars AS DOUBLE) AS x2
+  FROM base LEFT JOIN vlang USING (lang) LEFT JOIN vsource USING (source)
+)"""
+#: m and s: means and population deviations of the support, 1 where the deviation is 0.
+STANDARD = ", st AS (SELECT " + ", ".join(f"avg(x{j}) AS m{j}, CASE WHEN stddev_pop(x{j}) = 0 THEN 1 ELSE stddev_pop(x{j}) END AS s{j}" for j in range(3)) + " FROM {support})"
+
+
+def kernel_sql(support: str, rows: str, name: str = "prob") -> str:
+    """CTEs: ``name``(row_id, y, c, p) by the kernel over the rows of ``support`` for the rows of ``rows``."""
+    d2 = " + ".join(f"pow((q.x{j} - s.x{j}) / st.s{j}, 2)" for j in range(3))
+    return (
+        STANDARD.format(support=support)
+        + f"""
+, pairs AS (SELECT q.row_id, q.y, s.y AS c, {d2} AS d2 FROM {rows} q, {support} s, st)
+, weights AS (SELECT *, exp(-(d2 - min(d2) OVER (PARTITION BY row_id)) / (2 * 0.163 * 3)) AS w FROM pairs)
+, cls AS (SELECT DISTINCT y AS c FROM enc WHERE support)
+, shares AS (SELECT row_id, any_value(y) AS y, c, sum(w) AS w FROM weights GROUP BY row_id, c)
+, totals AS (SELECT row_id, any_value(y) AS y, sum(w) AS total FROM shares GROUP BY row_id)
+, {name} AS (
+  SELECT t.row_id, t.y, cls.c, 0.95 * coalesce(sh.w, 0) / t.total + 0.05 / (SELECT count(*) FROM cls) AS p
+  FROM totals t CROSS JOIN cls LEFT JOIN shares sh ON sh.row_id = t.row_id AND sh.c = cls.c
+)"""
+    )
+
+
+PARTS = ", known AS (SELECT * FROM enc WHERE support), unknown AS (SELECT * FROM enc WHERE NOT support)"
+PREDICTED = "WITH " + ENCODED + PARTS + kernel_sql("known", "unknown") + ", best AS (SELECT row_id, arg_max(c, (p, -c)) AS prediction, max(p) AS confidence FROM prob GROUP BY row_id)"
+NEAR = """
+, zs AS (SELECT row_id, support, (x0 - m0) / s0 AS z0, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM enc, st)
+, dist AS (
+  SELECT a.row_id, a.support, sqrt(pow(a.z0 - b.z0, 2) + pow(a.z1 - b.z1, 2) + pow(a.z2 - b.z2, 2)) AS d
+  FROM zs a JOIN zs b ON b.support AND a.row_id <> b.row_id
+)
+, near AS (
+  SELECT row_id, support, avg(d) AS d FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d) AS r FROM dist)
+  WHERE r <= (SELECT least(greatest(count(*) - 1, 1), 5) FROM known) GROUP BY row_id, support
+)
+, ref AS (SELECT avg(d) AS mu, greatest(stddev_pop(d), 1e-9) AS sigma, max(d) AS most FROM near WHERE support)
+, trust AS (
+  SELECT row_id, least(greatest(1 - greatest((d - mu) / sigma / 2, 0), 0), 1) AS trust, d > most OR (d - mu) / sigma > 2 AS ood
+  FROM near, ref WHERE NOT support
+)"""
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+@query("WITH " + ENCODED + " SELECT row_id, support, y, x0, x1, x2 FROM enc")
+def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = encode(documents(spark, sf_dir), "quality", key="doc_id")
+    return e.df.select("row_id", "support", "y", *[F.col("x")[j].alias(f"x{j}") for j in range(e.n_features)])
+
+
+@query(
+    """SELECT 'documents' AS tbl, 'classify (' || (SELECT count(DISTINCT quality) FROM labels) || ' classes, ' || (SELECT count(quality) FROM labels) || ' labeled rows, 3 features)' AS task
+UNION ALL SELECT 'parts', 'regress (' || (SELECT count(*) FROM part WHERE p_partkey % 5 <> 0) || ' labeled rows, 2 features)'
+UNION ALL SELECT 'sizes', 'regress (' || (SELECT count(*) FROM part) || ' labeled rows, 2 features)'"""
+)
+def detect_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parts(spark, sf_dir)
+    rows = [
+        ("documents", predict.detect_task(documents(spark, sf_dir), "quality", key="doc_id")),
+        ("parts", predict.detect_task(p, "price", key="p_partkey")),
+        ("sizes", predict.detect_task(p.withColumn("price", F.coalesce("price", F.lit(0.0))), "p_size", key="p_partkey")),
+    ]
+    return spark.createDataFrame(rows, "tbl string, task string")
+
+
+@query(PREDICTED + " SELECT row_id, prediction, round(confidence, 6) AS confidence, 'classify' AS task FROM best")
+def automl_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(predict.automl(documents(spark, sf_dir), "quality", key="doc_id"), "confidence")
+
+
+@query(PREDICTED + " SELECT row_id, prediction AS imputed FROM best")
+def impute_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.impute(documents(spark, sf_dir), "quality", key="doc_id")
+
+
+@query(PREDICTED + NEAR + " SELECT row_id, prediction, round(confidence, 6) AS confidence, round(trust, 6) AS trust, ood, 'classify' AS task FROM best JOIN trust USING (row_id)")
+def predict_trust_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(predict.predict_trust(documents(spark, sf_dir), "quality", key="doc_id"), "confidence", "trust")
+
+
+@query("WITH " + ENCODED + PARTS + kernel_sql("known", "known") + " SELECT row_id, round(1 - p, 6) AS score, 1 - p > 0.5 AS is_outlier FROM prob WHERE c = y")
+def anomaly_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(predict.anomaly(documents(spark, sf_dir), "quality", key="doc_id"), "score")
+
+
+@query(
+    "WITH " + ENCODED + ", ord AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM enc WHERE support), ctx AS (SELECT * FROM ord WHERE pos % 2 = 0), cal AS (SELECT * FROM ord WHERE pos % 2 = 1)" + kernel_sql("ctx", "cal")
+    + " SELECT round(least(greatest(1 - quantile_cont(1 - p, 0.9), 0), 1), 6) AS threshold FROM prob WHERE c = y"
+)
+def conformal_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = conformal.conformal_threshold(documents(spark, sf_dir), "quality", 0.9, key="doc_id")
+    return spark.createDataFrame([(round(t, 6),)], "threshold double")
+
+
+def _importance_sql() -> str:
+    out = ["WITH " + ENCODED + ", known AS (SELECT *, row_number() OVER (ORDER BY row_id) AS a, row_number() OVER (ORDER BY row_id DESC) AS b FROM enc WHERE support)" + STANDARD.format(support="known"), ", variants AS (SELECT -1 AS j, row_id, y, x0, x1, x2 FROM known"]
+    for j in range(3):
+        out.append(" UNION ALL SELECT " + str(j) + ", k.row_id, k.y, " + ", ".join(f"{'r' if i == j else 'k'}.x{i}" for i in range(3)) + " FROM known k JOIN known r ON r.a = k.b")
+    d2 = " + ".join(f"pow((q.x{i} - s.x{i}) / st.s{i}, 2)" for i in range(3))
+    out.append(f""")
+, pairs AS (SELECT q.j, q.row_id, q.y, s.y AS c, {d2} AS d2 FROM variants q, known s, st)
+, weights AS (SELECT *, exp(-(d2 - min(d2) OVER (PARTITION BY j, row_id)) / (2 * 0.163 * 3)) AS w FROM pairs)
+, shares AS (SELECT j, row_id, any_value(y) AS y, c, sum(w) AS w FROM weights GROUP BY j, row_id, c)
+, best AS (SELECT j, row_id, any_value(y) AS y, arg_max(c, (w, -c)) AS c FROM shares GROUP BY j, row_id)
+, acc AS (SELECT j, avg(CASE WHEN c = y THEN 1.0 ELSE 0.0 END) AS acc FROM best GROUP BY j)
+SELECT CASE j WHEN 0 THEN 'lang' WHEN 1 THEN 'source' ELSE 'n_chars' END AS feature,
+       round(greatest((SELECT acc FROM acc WHERE j = -1) - acc, 0), 6) AS importance
+FROM acc WHERE j >= 0""")
+    return "".join(out)
+
+
+@query(_importance_sql())
+def importance_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(explain.importance(documents(spark, sf_dir), "quality", key="doc_id"), "importance")
+
+
+def _explain_row_sql() -> str:
+    base = "base_row AS (SELECT (SELECT x0 FROM known GROUP BY x0 ORDER BY count(*) DESC, x0 LIMIT 1) AS b0, (SELECT x1 FROM known GROUP BY x1 ORDER BY count(*) DESC, x1 LIMIT 1) AS b1, (SELECT avg(x2) FROM known) AS b2)"
+    cases = "SELECT -1 AS row_id, y, x0, x1, x2 FROM enc WHERE row_id = 1" + "".join(" UNION ALL SELECT " + str(j) + ", y, " + ", ".join(f"b{i}" if i == j else f"x{i}" for i in range(3)) + " FROM enc, base_row WHERE row_id = 1" for j in range(3))
+    return (
+        "WITH " + ENCODED + ", known AS (SELECT * FROM enc WHERE support), " + base + f", cases AS ({cases})" + kernel_sql("known", "cases")
+        + """, top AS (SELECT arg_max(c, (p, -c)) AS c, max(p) AS p FROM prob WHERE row_id = -1)
+, contrib AS (SELECT prob.row_id AS j, top.p - prob.p AS contribution FROM prob JOIN top USING (c) WHERE prob.row_id >= 0)
+SELECT CASE j WHEN 0 THEN 'lang' WHEN 1 THEN 'source' ELSE 'n_chars' END AS feature, round(contribution, 6) AS contribution,
+       CASE WHEN contribution >= 0 THEN 'toward' ELSE 'away' END AS direction,
+       CASE j WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS value
+FROM contrib, (SELECT * FROM enc WHERE row_id = 1)"""
+    )
+
+
+@query(_explain_row_sql())
+def explain_row_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(explain.explain_row(documents(spark, sf_dir), "quality", 1, key="doc_id"), "contribution")
+
+
+@query(
+    PREDICTED + NEAR + ", scored AS (SELECT row_id, 1 - p AS score FROM (" + "WITH " + ENCODED + PARTS + kernel_sql("known", "known") + " SELECT * FROM prob WHERE c = y))"
+    + """ SELECT doc_id, round(score, 6) AS anomaly_score, prediction AS predicted, round(confidence, 6) AS confidence, round(trust, 6) AS trust, ood,
+       CASE WHEN trust IS NULL THEN NULL WHEN ood OR trust < 0.34 THEN 'low trust' WHEN trust < 0.67 THEN 'check' ELSE 'trusted' END AS trust_label,
+       CAST(NULL AS DOUBLE) AS band
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_id FROM documents) d LEFT JOIN scored USING (row_id) LEFT JOIN best USING (row_id) LEFT JOIN trust USING (row_id)"""
+)
+def view_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = view.view_frame(documents(spark, sf_dir), "quality", "anomaly,predict", key="doc_id")
+    return _rounded(df.select("doc_id", "anomaly_score", "predicted", "confidence", "trust", "ood", "trust_label", "band"), "anomaly_score", "confidence", "trust")
+
+
+def _similar_sql(k: int = 5) -> str:
+    return f"""
+WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+st AS (SELECT i, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS sd FROM s GROUP BY i),
+z AS (SELECT vec_id, i, (v - m) / sd AS z FROM s JOIN st USING (i)),
+d AS (SELECT a.vec_id AS query_id, b.vec_id AS support_id, sqrt(sum(pow(a.z - b.z, 2))) AS distance FROM z a JOIN z b USING (i) WHERE a.vec_id % 100 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, support_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INT) AS rank, support_id, round(distance, 6) AS distance FROM r WHERE rank <= {k}"""
+
+
+@query(_similar_sql())
+def similar_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings")
+    return _rounded(neighbors.similar(e, e.filter("vec_id % 100 = 0"), 5, "embedding", "vec_id", "vec_id"), "distance")
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS argmax, CAST(list_max(embedding) AS DOUBLE) AS confidence FROM embeddings")
+def argmax_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    return _read(spark, sf_dir, "embeddings").select("vec_id", numbers.argmax(v).alias("argmax"), numbers.confidence(v).alias("confidence"))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, p_size, p_retailprice, avg(p_size) OVER () AS m0, stddev_pop(p_size) OVER () AS s0, avg(p_retailprice) OVER () AS m1, stddev_pop(p_retailprice) OVER () AS s1 FROM part)
+SELECT p_partkey, round(sqrt((pow((p_size - m0) / s0, 2) + pow((p_retailprice - m1) / s1, 2)) / 2), 6) AS score FROM s"""
+)
+def anomaly_over_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one window: its statistics are one aggregated row, so no rows are gathered in one task."""
+    p = _read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
+    st = p.agg(F.avg("a").alias("m0"), F.stddev_pop("a").alias("s0"), F.avg("b").alias("m1"), F.stddev_pop("b").alias("s1"))
+    z = lambda c, j: (F.col(c) - F.col(f"m{j}")) / numbers.or_one(F.col(f"s{j}"))
+    return p.crossJoin(F.broadcast(st)).select("p_partkey", F.round(F.sqrt((z("a", 0) * z("a", 0) + z("b", 1) * z("b", 1)) / 2), 6).alias("score"))
+
+
+@query(
+    """WITH s AS (SELECT event_id, value, avg(value) OVER w AS m, CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END AS sd FROM events WINDOW w AS (PARTITION BY event_type))
+SELECT event_id, round(sqrt(pow((value - m) / sd, 2)), 6) AS score FROM s"""
+)
+def anomaly_over_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("event_id", F.round(numbers.anomaly_over(["value"], ["event_type"]), 6).alias("score"))
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN abs(round(s_acctbal, 0) - s_acctbal) <= greatest(abs(s_acctbal) * 1e-9, 1e-9) THEN 0 WHEN abs(round(s_acctbal, 1) - s_acctbal) <= greatest(abs(s_acctbal) * 1e-9, 1e-9) THEN 1
+ WHEN abs(round(s_acctbal, 2) - s_acctbal) <= greatest(abs(s_acctbal) * 1e-9, 1e-9) THEN 2 ELSE 6 END AS decimals, round(s_acctbal, 1) AS rounded FROM supplier"""
+)
+def decimal_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("s_acctbal")
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", numbers.decimal_places(c).alias("decimals"), numbers.round_to(c, 1).alias("rounded"))
+
+
+@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 6) AS q90 FROM orders GROUP BY 1")
+def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(numbers.quantile(F.col("o_totalprice"), 0.9), 6).alias("q90"))
+
+
+@query("SELECT 100 AS max_features, 10 AS max_classes, 512 AS dim, 14 AS layers, 8 AS heads, 64 AS head_dim")
+def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return primitives.caps()
+
+
+@query()
+def version_and_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(primitives.version(), primitives.model_info())], "version string, model string")
+
+
+@query()
+def explain_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(explain.explain(documents(spark, sf_dir), "quality", key="doc_id"),)], "story string")
+
+
+@query()
+def explain_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(explain.explain(_suppliers(spark, sf_dir), "balance", key="s_suppkey"),)], "story string")
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with the number and value of their line items; the balance of every fifth is to be predicted."""
+    lines = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
+    s = _read(spark, sf_dir, "supplier").join(lines, "s_suppkey", "left")
+    return s.select("s_suppkey", "s_nationkey", "lines", "quantity", "discount", F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal")).alias("balance"))
+
+
+@query()
+def automl_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.automl(parts(spark, sf_dir), "price", key="p_partkey")
+
+
+@query()
+def predict_trust_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.predict_trust(_suppliers(spark, sf_dir), "balance", key="s_suppkey")
+
+
+@query()
+def anomaly_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.anomaly(_suppliers(spark, sf_dir), "balance", key="s_suppkey")
+
+
+@query()
+def conformal_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conformal.conformal_regress(_suppliers(spark, sf_dir), "balance", 0.9, key="s_suppkey")
+
+
+@query()
+def importance_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.importance(_suppliers(spark, sf_dir), "balance", key="s_suppkey")
+
+
+@query()
+def explain_row_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.explain_row(_suppliers(spark, sf_dir), "balance", 1, key="s_suppkey")
+
+
+@query()
+def view_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.view_frame(_suppliers(spark, sf_dir), "balance", key="s_suppkey")
+
+
+def _kmeans_sql(k: int = 3) -> str:
+    """Seeds by the fixed draws, then rounds in a recursive CTE: labels as the least place with the least distance."""
+    u = clusters.draws()
+    first, second, third = (next(u) for _ in range(3))
+    d = "pow(z0 - {0}0, 2) + pow(z1 - {0}1, 2)"
+    pick = lambda n, near, draw: f"""
+, near{n} AS (SELECT pos, z0, z1, {near} AS w FROM z{", " + ", ".join(f"c{i}" for i in range(n)) if n else ""})
+, run{n} AS (SELECT pos, z0, z1, sum(w) OVER (ORDER BY pos) AS run, sum(w) OVER () AS total FROM near{n})
+, c{n} AS (SELECT z0 AS c{n}0, z1 AS c{n}1 FROM run{n} WHERE run >= {draw!r} * total ORDER BY pos LIMIT 1)"""
+    least = ", ".join(d.format(f"c{i}") for i in range(2))
+    arg = "CASE WHEN {0} <= {1} AND {0} <= {2} THEN 0 WHEN {1} <= {2} THEN 1 ELSE 2 END"
+    at = arg.format(*(d.format(f"c.c{i}") for i in range(3)))
+    means = ", ".join(f"coalesce(avg(z{x}) FILTER (label = {i}), any_value(c{i}{x})) AS c{i}{x}" for i in range(3) for x in range(2))
+    inner = f"SELECT z.*, c.*, {at} AS label FROM z, c"
+    return f"""
+WITH RECURSIVE st AS (SELECT avg(s_nationkey) AS m0, stddev_pop(s_nationkey) AS s0, avg(s_acctbal) AS m1, stddev_pop(s_acctbal) AS s1 FROM supplier),
+z AS (SELECT s_suppkey, (s_nationkey - m0) / s0 AS z0, (s_acctbal - m1) / s1 AS z1, row_number() OVER (ORDER BY s_nationkey, s_acctbal, s_suppkey) - 1 AS pos, count(*) OVER () AS n FROM supplier, st)
+, c0 AS (SELECT z0 AS c00, z1 AS c01 FROM z WHERE pos = CAST(floor({first!r} * n) AS BIGINT) % n)
+{pick(1, d.format("c0"), second)}
+{pick(2, f"least({least})", third)}
+, rounds AS (
+  SELECT 0 AS i, c00, c01, c10, c11, c20, c21 FROM c0, c1, c2
+  UNION ALL
+  SELECT i + 1, m.* FROM (SELECT any_value(i) AS i, {means} FROM (SELECT z.*, c.*, {at} AS label FROM z, rounds c WHERE i < 100)) AS m(i, c00, c01, c10, c11, c20, c21) WHERE i IS NOT NULL
+)
+, c AS (SELECT * FROM rounds WHERE i = 100)
+SELECT row_number() OVER (ORDER BY s_suppkey) AS row_id, CAST({at} AS INT) AS cluster FROM z, c"""
+
+
+@query(_kmeans_sql())
+def cluster_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_read(spark, sf_dir, "supplier").drop("s_name"), 3, key="s_suppkey")
+
+
+@query()
+def cluster_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(documents(spark, sf_dir), 4, "quality", key="doc_id")
+
+
+@query()
+def cluster_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings")
+    return clusters.cluster_over(e, "embedding", ["label"]).select("vec_id", "label", "cluster")
+
+
+@query()
+def classify_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The array functions, registered in SQL, on small literal tables."""
+    from foretell.sql import register
+
+    register(spark)
+    s, y = "array(0D, 0D, 0.1D, 0.1D, 5D, 5D, 5.1D, 4.9D)", "array(0, 0, 1, 1)"
+    return spark.sql(f"""SELECT ft_classify(array(0.2D, 0D, 5D, 5.2D), {s}, {y}, 2, 2) AS probs, ft_classify_gated(array(0.2D, 0D), {s}, {y}, 2, 2, 0.99D) AS gated,
+      ft_regress(array(1D, 2D), array(1D, 2D, 3D, 4D), array(2D, 4D, 6D, 8D), 1) AS mean_std, ft_argmax(array(0.1D, 0.7D, 0.2D)) AS arg, ft_confidence(array(0.1D, 0.7D, 0.2D)) AS conf,
+      (SELECT max(support_idx) FROM ft_similar(array(5D, 5D), {s}, 2, 1)) AS nearest""")
+
+
 def queries() -> dict[str, Callable]:
     return dict(QUERIES)
 
