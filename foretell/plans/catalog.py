@@ -337,7 +337,6 @@ def _kmeans_sql(k: int = 3) -> str:
     arg = "CASE WHEN {0} <= {1} AND {0} <= {2} THEN 0 WHEN {1} <= {2} THEN 1 ELSE 2 END"
     at = arg.format(*(d.format(f"c.c{i}") for i in range(3)))
     means = ", ".join(f"coalesce(avg(z{x}) FILTER (label = {i}), any_value(c{i}{x})) AS c{i}{x}" for i in range(3) for x in range(2))
-    inner = f"SELECT z.*, c.*, {at} AS label FROM z, c"
     return f"""
 WITH RECURSIVE st AS (SELECT avg(s_nationkey) AS m0, stddev_pop(s_nationkey) AS s0, avg(s_acctbal) AS m1, stddev_pop(s_acctbal) AS s1 FROM supplier),
 z AS (SELECT s_suppkey, (s_nationkey - m0) / s0 AS z0, (s_acctbal - m1) / s1 AS z1, row_number() OVER (ORDER BY s_nationkey, s_acctbal, s_suppkey) - 1 AS pos, count(*) OVER () AS n FROM supplier, st)
@@ -347,7 +346,7 @@ z AS (SELECT s_suppkey, (s_nationkey - m0) / s0 AS z0, (s_acctbal - m1) / s1 AS
 , rounds AS (
   SELECT 0 AS i, c00, c01, c10, c11, c20, c21 FROM c0, c1, c2
   UNION ALL
-  SELECT i + 1, m.* FROM (SELECT any_value(i) AS i, {means} FROM (SELECT z.*, c.*, {at} AS label FROM z, rounds c WHERE i < 100)) AS m(i, c00, c01, c10, c11, c20, c21) WHERE i IS NOT NULL
+  SELECT i + 1, c00, c01, c10, c11, c20, c21 FROM (SELECT any_value(i) AS i, {means} FROM (SELECT z.*, c.*, {at} AS label FROM z, rounds c WHERE i < 100)) AS m(i, c00, c01, c10, c11, c20, c21) WHERE i IS NOT NULL
 )
 , c AS (SELECT * FROM rounds WHERE i = 100)
 SELECT row_number() OVER (ORDER BY s_suppkey) AS row_id, CAST({at} AS INT) AS cluster FROM z, c"""
