@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from foretell.functions import numbers
 from foretell.operators import cluster as clusters
 from foretell.operators import conformal, explain, neighbors, predict, primitives, view
+from foretell.plans import relational
 from foretell.plans.encode import encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -381,8 +382,8 @@ def classify_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return dict(QUERIES)
+    return QUERIES | relational.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | relational.SQL
