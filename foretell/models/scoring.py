@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from foretell.models import gbm
 from foretell.models.kernel import Kernel
+from foretell.models.tabular import load
 from foretell.plans.encode import MAX_FEATURES, Encoded, EncodingError
 
 
@@ -26,7 +27,13 @@ class Model:
             if e.n_features > MAX_FEATURES:
                 raise EncodingError(f"{e.n_features} features; the classifier takes {MAX_FEATURES} at most")
             self.values = np.array(e.classes())
-            self.fitted = Kernel(self.x, np.searchsorted(self.values, self.y), len(self.values))
+            labels = np.searchsorted(self.values, self.y)
+            conf = e.df.sparkSession.conf
+            weights, config = (conf.get(f"spark.foretell.{k}", None) for k in ("model", "config"))
+            if weights and config:  # an in-context network, where its files are given
+                self.fitted = load(weights, config).read(self.x, labels, len(self.values))
+            else:
+                self.fitted = Kernel(self.x, labels, len(self.values))
         else:
             self.fitted = gbm.fit(self.x, self.y)
 
