@@ -93,26 +93,30 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     ``nodes``: node (unique), tree, parent, score.
     """
     spark = nodes.sparkSession
-    base = written(nodes.select("node", "tree", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
-    now = written(base.select("node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "ancestors")
-    levels = []
-    while not now.filter("up is not null").isEmpty():
-        if len(levels) > 62:
+    tables: list[DataFrame] = []
+    # A parent that is no node makes a root.
+    known = nodes.select(F.col("node").alias("parent"), F.col("node").alias("known"))
+    base = written(nodes.select("node", "tree", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).join(known, "parent", "left").select("node", "tree", F.col("known").alias("parent"), "score"), "nodes")
+    # Nodes whose pointer has passed the root are done: only the open ones are joined and written again.
+    first = written(base.select("node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "ancestors")
+    levels, done, now = [], first.filter("up is null"), first
+    while not (open_ := now.filter("up is not null")).isEmpty():
+        if len(levels) > 40:
             raise ValueError("the replies form a cycle")
-        levels.append(now)
-        b = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        now = written(now.join(b, "up", "left").select("node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "ancestors")
+        levels.append(open_)
+        b = done.unionByName(open_).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        now = written(open_.join(b, "up").select("node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), "ancestors")
+        done = done.unionByName(now.filter("up is null"))
+        tables.append(now)
+    now = done
     leaves = base.join(base.select(F.col("parent").alias("node")).filter("node is not null").distinct(), "node", "left_anti").join(now.select("node", "total", "depth"), "node")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node"))
     chosen = leaves.withColumn("rank", rank).filter(F.col("rank") <= top)
     members = written(chosen.select("tree", F.col("node").alias("path"), "depth", "node", F.lit(0).cast("long").alias("up_by")), "members")
     for k, level in enumerate(levels):
-        above = level.filter("up is not null").select("node", "up")
-        more = members.join(above, "node").select("tree", "path", "depth", F.col("up").alias("node"), (F.col("up_by") + (1 << k)).alias("up_by"))
-        after = written(members.unionByName(more), "members")
-        remove(spark, members)
-        members = after
-    remove(spark, now, base, *levels)
+        more = members.join(level.select("node", "up"), "node").select("tree", "path", "depth", F.col("up").alias("node"), (F.col("up_by") + (1 << k)).alias("up_by"))
+        members = members.unionByName(written(more, "members"))
+    remove(spark, first, base, *tables)
     return members.select("tree", "path", (F.col("depth") - 1 - F.col("up_by")).alias("seq"), "node")
 
 
