@@ -12,7 +12,7 @@ A suffix sort of all text moves many tuples for every byte. Here it is kept for
    size, and each shard is sorted by induction (types, first the order of the leftmost S-suffixes by recursion on pairs of
    names, then the induced order of all suffixes through first-in-first-out queues by first byte). Windows that
    equal a neighbour in this order repeat. A context with more than ``MANY`` distinct strings isn't sorted in one
-   task: its windows are counted one by one, by hash, over all tasks.
+   task: its windows are parted by their offsets and longer shared cores, in steps, and counted over all tasks.
 4. The repeated windows go back to their documents, which are read again in the same partitions; no text is shuffled.
 
 Strings are judged on the input. Hashes of 64 bits are used in pairs (context and run, context and window), so equality
@@ -37,8 +37,10 @@ from ._common import filesystem, new_path, remove, written
 
 LENGTH, REACH, GRAM = 200, 128, 16
 CONTEXT = LENGTH - REACH + 1
-PIECE = 1 << 21
+PIECE = 1 << 20
 SHARD_BYTES, MANY = 400_000, 1_000
+#: Widths of the classes of offsets by which the windows of a context with many strings are parted, in turn.
+WIDTHS = (32, 8, 1)
 #: Odd multipliers of the hash, one for each doubling; from a fixed generator.
 MULTIPLIERS = np.random.default_rng(2024).integers(1 << 62, 1 << 63, 16, np.uint64) | np.uint64(1)
 
@@ -93,14 +95,6 @@ def _runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, count, a - start, context.view(np.int64), string.view(np.int64)
 
 
-def window_hashes(string: bytes) -> np.ndarray:
-    """Hash of each window of a string of at most a few hundred bytes."""
-    data = np.frombuffer(string, np.uint8)
-    h = _hashes(data)[128]
-    p = np.arange(len(data) - LENGTH + 1)
-    return _mixed(h[p] * MULTIPLIERS[12] + h[p + LENGTH - 128] * MULTIPLIERS[14]).view(np.int64)
-
-
 # Induced sorting of a shard
 
 
@@ -254,7 +248,7 @@ def _all_runs(docs: DataFrame) -> DataFrame:
             begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             start, count, offset, context, string = _runs(data, np.repeat(begin + sizes, sizes))
             own = np.searchsorted(begin + sizes, start, side="right")
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(start), part, np.int32), (first_row + own).astype(np.int32), (start - begin[own] + shift).astype(np.int64), count.astype(np.int16), context, string)], names=["part", "row", "start", "count", "context", "string"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(start), part, np.int32), (first_row + own).astype(np.int32), (start - begin[own] + shift).astype(np.int64), count.astype(np.int16), offset.astype(np.int16), context, string)], names=["part", "row", "start", "count", "offset", "context", "string"])
 
         for b in batches:
             texts = _texts(b)
@@ -274,7 +268,7 @@ def _all_runs(docs: DataFrame) -> DataFrame:
                 lo = hi
             row += b.num_rows
 
-    return docs.mapInArrow(f, "part int, row int, start long, count short, context long, string long")
+    return docs.mapInArrow(f, "part int, row int, start long, count short, offset short, context long, string long")
 
 
 def _by_part(df: DataFrame, name: str, parts: int) -> str:
@@ -302,7 +296,7 @@ def _strings(docs: DataFrame, path: str) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        wanted = _read_part(path, TaskContext.get().partitionId(), ["row", "start", "count", "context", "string", "many"])
+        wanted = _read_part(path, TaskContext.get().partitionId(), ["row", "start", "count", "offset", "context", "string", "many"])
         if wanted is None:
             return
         rows, first = wanted.column("row").to_numpy(), 0
@@ -312,10 +306,10 @@ def _strings(docs: DataFrame, path: str) -> DataFrame:
                 texts, some = _texts(b), wanted.slice(lo, hi - lo)
                 own = (some.column("row").to_numpy() - first).tolist()
                 cut = [texts[i][s : s + n + LENGTH - 1] for i, s, n in zip(own, some.column("start").to_pylist(), some.column("count").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(some.column(c).combine_chunks() for c in ("context", "string", "many")), pa.array(cut, pa.binary())], names=["context", "string", "many", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c).combine_chunks() for c in ("context", "string", "many", "offset")), pa.array(cut, pa.binary())], names=["context", "string", "many", "offset", "bytes"])
             first += b.num_rows
 
-    return docs.mapInArrow(f, "context long, string long, many boolean, bytes binary")
+    return docs.mapInArrow(f, "context long, string long, many boolean, offset short, bytes binary")
 
 
 def _sorted_shards(strings: DataFrame) -> DataFrame:
@@ -353,18 +347,40 @@ def _sorted_shards(strings: DataFrame) -> DataFrame:
     return few.repartition("context").sortWithinPartitions("context", "string").mapInArrow(f, "context long, string long, first int, n int")
 
 
-def _counted_windows(strings: DataFrame) -> DataFrame:
-    """The same for contexts with many strings: each window is a row, counted by its hash over all tasks."""
+def _classes(rows: DataFrame, width: int) -> DataFrame:
+    """Each row's windows by the offset of the anchor in them, ``width`` offsets a class, with the hash of the bytes that all windows of the class share."""
+    most = rows.columns.index("offset"), rows.columns.index("bytes"), rows.columns.index("lo"), rows.columns.index("size")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["context", "string", "offset", "bytes", "lo", "size", "core"]
         for b in batches:
-            for context, string, bytes_ in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                w = window_hashes(bytes_)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), context)), pa.array(np.full(len(w), string)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w)], names=["context", "string", "first", "window"])
-
-    each = written(strings.filter("many").select("context", "string", "bytes").mapInArrow(f, "context long, string long, first int, window long"), "windows")
-    twice = each.groupBy("context", "window").agg(F.count("*").alias("times")).filter("times > 1").select("context", "window")
-    return each.join(twice, ["context", "window"]).select("context", "string", "first", F.lit(1).alias("n"))
+            at, lows, cores = [], [], []
+            for i, (a, text, lo, size) in enumerate(zip(*(b.column(j).to_pylist() for j in most), strict=True)):
+                least = a - (len(text) - LENGTH)  # the offset in the last window; in the first it is a
+                for low in range(lo, lo + size, width):
+                    if low <= a and low + width > least:
+                        at.append(i)
+                        lows.append(low)
+                        cores.append(int.from_bytes(hashlib.blake2b(text[a - low : a + LENGTH - (low + width - 1)], digest_size=8).digest(), "little", signed=True))
+            if at:
+                same = [b.column(b.schema.get_field_index(n)).take(pa.array(at)) for n in names[:4]]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(lows, pa.int32()), pa.array([width] * len(at), pa.int32()), pa.array(cores, pa.int64())], names=names)
+
+    return rows.mapInArrow(f, "context long, string long, offset short, bytes binary, lo int, size int, core long")
+
+
+def _refined_windows(strings: DataFrame) -> DataFrame:
+    """The same for contexts with many strings. Windows are parted by the offset of their anchor, in ever narrower classes.
+
+    Equal windows are of one class and share its core, 200 bytes less the class's width; a string whose core is alone in
+    its class leaves it. At width one the core is the window. All classes are counted by hash, over all tasks.
+    """
+    rows = strings.filter("many").select("context", "string", "offset", "bytes", F.lit(0).alias("lo"), F.lit(REACH).alias("size"))
+    for width in WIDTHS:
+        each = written(_classes(rows, width), "classes")
+        twice = written(each.groupBy("context", "lo", "core").agg(F.count("*").alias("times")).filter("times > 1").drop("times"), "cores")
+        rows = each.join(twice, ["context", "lo", "core"]).drop("core")
+    return rows.select("context", "string", (F.col("offset") - F.col("lo")).cast("int").alias("first"), F.lit(1).alias("n"))
 
 
 def repeats(docs: DataFrame) -> tuple[str, int]:
@@ -373,16 +389,18 @@ def repeats(docs: DataFrame) -> tuple[str, int]:
     parts = docs.rdd.getNumPartitions()
     runs = written(_all_runs(docs), "runs")
     of = runs.groupBy("context").agg(F.count("*").alias("n"), F.min("string").alias("a"), F.max("string").alias("b")).filter("n > 1")
-    shared = runs.join(of.select("context", (F.col("a") != F.col("b")).alias("mixed")), "context")
-    shared = written(shared, "shared-runs")
-    remove(spark, runs)
+    # Written, so that the join has two plain shuffled sides and a hot context is split at run time.
+    of = written(of.select("context", (F.col("a") != F.col("b")).alias("mixed")), "contexts")
+    shared = written(runs.join(of, "context"), "shared-runs")
+    remove(spark, runs, of)
     mixed = shared.filter("mixed")
-    variants = mixed.groupBy("context", "string").agg(F.count("*").alias("times"), F.min(F.struct("part", "row", "start", "count")).alias("at"))
+    variants = mixed.groupBy("context", "string").agg(F.count("*").alias("times"), F.min(F.struct("part", "row", "start", "count", "offset")).alias("at"))
     variants = written(variants.select("context", "string", "times", "at.*"), "variants")
-    many = variants.groupBy("context").agg((F.count("*") > MANY).alias("many"))
-    wanted = _by_part(variants.join(many, "context").select("part", "row", "start", "count", "context", "string", "many"), "wanted", parts)
+    many = written(variants.groupBy("context").agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select("context", F.lit(True).alias("many")), "many")
+    parted = variants.join(many, "context", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    wanted = _by_part(parted.select("part", "row", "start", "count", "offset", "context", "string", "many"), "wanted", parts)
     strings = written(_strings(docs, wanted), "strings")
-    found = _sorted_shards(strings).unionByName(_counted_windows(strings))
+    found = _sorted_shards(strings).unionByName(_refined_windows(strings))
     # A string that occurs twice repeats as a whole, whatever its neighbours say.
     whole = variants.filter("times > 1").select("context", "string", F.lit(0).alias("first"), F.col("count").cast("int").alias("n"))
     partly = found.join(variants.filter("times > 1").select("context", "string"), ["context", "string"], "left_anti")
