@@ -9,9 +9,9 @@ A suffix sort of all text moves many tuples for every byte. Here it is kept for
 2. Contexts that occur once hold no repeated window: most text ends here. If all runs of a context have one string, all
    their windows repeat.
 3. Otherwise the distinct strings of the context are suffix-sorted: strings are dealt out by context in shards of bounded
-   size, and each shard is sorted by induction (types, first the order of the leftmost S-suffixes by recursion on pairs of
-   names, then the induced order of all suffixes through first-in-first-out queues by first byte). Windows that
-   equal a neighbour in this order repeat. A context with more than ``MANY`` distinct strings isn't sorted in one
+   size, and each shard is sorted by induction: the order of the leftmost S-suffixes by recursion on pairs of names, then
+   that of all suffixes. Tuples of suffix and common prefix pass through queues by first byte, which go to disk (the
+   shared folder) beyond a bound. Windows that share LENGTH bytes with a neighbour repeat. A context with more than ``MANY`` distinct strings isn't sorted in one
    task: its windows are parted by their offsets and longer shared cores, in steps, and counted over all tasks.
 4. The repeated windows go back to their documents, which are read again in the same partitions; no text is shuffled.
 
@@ -108,96 +108,192 @@ def _types(t: np.ndarray) -> np.ndarray:
     return d[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
-def _dealt(queues: list[list], places: np.ndarray, t: np.ndarray) -> None:
-    """Append places to the queue of their first byte, in order."""
-    if len(places):
-        by = t[places]
-        order = np.argsort(by, kind="stable")
-        places, by = places[order], by[order]
-        cuts = np.flatnonzero(np.diff(by)) + 1
-        for part in np.split(places, cuts):
-            queues[t[part[0]]].append(part)
-
+class Queues:
+    """First-in-first-out queues of (suffix, common prefix) arrays by first value: the priority queues of the induction.
 
-def _induced(t: np.ndarray, small: np.ndarray, stars: np.ndarray) -> np.ndarray:
-    """All suffixes, in the order that the order of the leftmost S-suffixes induces."""
-    sigma = int(t.max()) + 1
-    larger: list[list] = [[] for _ in range(sigma)]
-    star: list[list] = [[] for _ in range(sigma)]
-    _dealt(star, stars, t)
-    none = np.zeros(0, np.int64)
-    done_l: list[np.ndarray] = []
+    Within a first value, tuples arrive in their final order, so a queue for each is a priority queue. Beyond ``most``
+    numbers in memory, all queues are appended to files below ``folder`` and read back when their turn comes.
+    """
 
-    def before(places: np.ndarray, want_small: bool) -> np.ndarray:
-        q = places[places > 0] - 1
-        return q[small[q] == want_small]
+    def __init__(self, size: int, folder: str | None = None, most: int = 50_000_000):
+        self.held: list[list[np.ndarray]] = [[] for _ in range(size)]
+        self.files: list[list[str]] = [[] for _ in range(size)]
+        self.folder, self.most, self.n, self.spills = folder, most, 0, 0
+
+    def put(self, key: int, pairs: np.ndarray) -> None:
+        self.held[key].append(pairs)
+        self.n += pairs.size
+        if self.folder and self.n > self.most:
+            store, root = filesystem(self.folder)
+            store.create_dir(root, recursive=True)
+            for k, parts in enumerate(self.held):
+                if parts:
+                    name = f"{root}/{self.spills}-{k}"
+                    with store.open_output_stream(name) as f:
+                        f.write(np.concatenate(parts, 1).astype("<i8").tobytes())
+                    self.files[k].append(name)
+                    self.held[k] = []
+            self.n, self.spills = 0, self.spills + 1
+
+    def take(self, key: int) -> np.ndarray:
+        """All tuples of a key so far, in order; the queue is empty then."""
+        parts = []
+        if self.files[key]:
+            store, _ = filesystem(self.folder)
+            for name in self.files[key]:
+                with store.open_input_stream(name) as f:
+                    parts.append(np.frombuffer(f.read(), "<i8").reshape(2, -1))
+                store.delete_file(name)
+            self.files[key] = []
+        parts += self.held[key]
+        self.n -= sum(x.size for x in self.held[key])
+        self.held[key] = []
+        return np.concatenate(parts, 1) if parts else np.zeros((2, 0), np.int64)
+
+
+class _Inducer:
+    """Sends the predecessors of sorted suffixes to their queues, with the common prefix of neighbours in a queue.
+
+    The prefix shared by two neighbours in a queue is one more than the least between their successors. ``least`` holds, by
+    queue, the least common prefix that has passed since its last tuple.
+    """
 
+    def __init__(self, t: np.ndarray, small: np.ndarray, want_small: bool, queues: Queues):
+        self.t, self.small, self.want, self.queues = t, small, want_small, queues
+        self.least = np.full(int(t.max()) + 1, -1, np.int64)  # -1: an empty queue, whose first tuple shares nothing
+
+    def send(self, places: np.ndarray, lcp: np.ndarray, aside: int = -1) -> np.ndarray:
+        """Sorted suffixes and the prefix that each shares with the one before; returns the tuples of queue ``aside``."""
+        none = np.zeros((2, 0), np.int64)
+        if not len(places):
+            return none
+        at = np.flatnonzero(places > 0)
+        at = at[self.small[places[at] - 1] == self.want]
+        q = places[at] - 1
+        by = self.t[q]
+        order = np.argsort(by, kind="stable")
+        at, q, by = at[order], q[order], by[order]
+        head = np.concatenate(([True], by[1:] != by[:-1])) if len(by) else np.zeros(0, bool)
+        start = np.where(head, 0, np.concatenate(([0], at[:-1] + 1))) if len(by) else at
+        shared = np.zeros(0, np.int64)
+        if len(by):
+            padded = np.append(lcp, 0)
+            shared = np.minimum.reduceat(padded, np.stack((start, at + 1), 1).ravel())[::2]
+            shared[head] = np.minimum(shared[head], self.least[by[head]])
+            shared = shared + 1  # an empty queue's -1 gives 0
+        later = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.iinfo(np.int64).max // 2)
+        self.least = np.where(self.least >= 0, np.minimum(self.least, later[0]), -1)
+        if len(by):
+            last = np.append(head[1:], True)
+            self.least[by[last]] = later[at[last] + 1]
+        out = none
+        if len(by):
+            cuts = np.append(np.flatnonzero(head), len(by))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                pairs = np.stack((q[lo:hi], shared[lo:hi]))
+                if by[lo] == aside:
+                    out = pairs
+                else:
+                    self.queues.put(int(by[lo]), pairs)
+        return out
+
+
+def _induced(t: np.ndarray, small: np.ndarray, stars: np.ndarray, star_lcp: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in the order that the leftmost S-suffixes induce, and the prefix that each shares with the one before."""
+    n, sigma = len(t), int(t.max()) + 1
+    ends = np.flatnonzero(np.append(t[1:] != t[:-1], True))
+    run = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1  # how often the first value repeats
+    cut = np.searchsorted(t[stars], np.arange(sigma + 1))
+    queues = Queues(sigma, folder)
+    up = _Inducer(t, small, False, queues)
+    done: list[np.ndarray] = []
     for c in range(sigma):
-        got = []
-        wave = np.concatenate(larger[c]) if larger[c] else none
-        while len(wave):  # a wave induces the next one where a byte repeats
+        got, last = [], -1
+        wave = queues.take(c)
+        while wave.shape[1]:  # a wave induces the next one where a value repeats
             got.append(wave)
-            q = before(wave, False)
-            same = t[q] == c
-            _dealt(larger, q[~same], t)
-            wave = q[same]
-        if star[c]:
-            _dealt(larger, before(np.concatenate(star[c]), False), t)
-        done_l.append(np.concatenate(got) if got else none)
-        larger[c] = []
-    smaller: list[list] = [[] for _ in range(sigma)]
-    out: list[np.ndarray] = []
-    last = len(t) - 1
-    if small[last]:
-        smaller[t[last]].append(np.array([last]))
-    for c in range(sigma - 1, -1, -1):  # from the largest down, all queues turned round
-        got = []
-        wave = np.concatenate(smaller[c]) if smaller[c] else none
-        while len(wave):
+            last = int(wave[0, -1])
+            wave = up.send(wave[0], wave[1], c)
+        own, shared = stars[cut[c] : cut[c + 1]], star_lcp[cut[c] : cut[c + 1]].copy()
+        if len(own):  # an L-suffix and an S-suffix share their run of one value and no more
+            shared[0] = min(run[last], run[own[0]]) if last >= 0 else 0
+            up.send(own, shared)
+        done.append(np.concatenate(got, 1) if got else np.zeros((2, 0), np.int64))
+    queues = Queues(sigma, folder)
+    down = _Inducer(t, small, True, queues)
+    if small[-1]:
+        queues.put(int(t[-1]), np.array([[n - 1], [0]]))
+    places, shares = [], []
+    for c in range(sigma - 1, -1, -1):  # from the largest down; a prefix is shared with the one that was sent before
+        got, last = [], -1
+        wave = queues.take(c)
+        while wave.shape[1]:
             got.append(wave)
-            q = before(wave, True)
-            same = t[q] == c
-            _dealt(smaller, q[~same], t)
-            wave = q[same]
-        _dealt(smaller, before(done_l[c][::-1], True), t)
-        out.append(np.concatenate(got) if got else none)
-        out.append(done_l[c][::-1])
-        smaller[c] = []
-    return np.concatenate(out)[::-1]
-
-
-def suffix_order(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """The suffixes of ``t`` in order of their first ``depth`` values at least."""
+            last = int(wave[0, -1])
+            wave = down.send(wave[0], wave[1], c)
+        larger = done[c][0][::-1]
+        if len(larger):
+            # turned round, a suffix's shared prefix stands with its other neighbour
+            shared = np.concatenate(([min(run[last], run[larger[0]]) if last >= 0 else 0], done[c][1][:0:-1]))
+            got.append(np.stack((larger, shared)))
+            down.send(larger, shared)
+        for x in got:
+            places.append(x[0])
+            shares.append(x[1])
+        done[c] = None
+    order, lcp = np.concatenate(places)[::-1], np.concatenate(shares)[::-1]
+    return order, np.concatenate(([0], lcp[:-1]))
+
+
+def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes a and b, up to ``depth``."""
+    out, at = np.zeros(len(a), np.int64), np.arange(len(a))
+    n = len(t)
+    for k in range(depth):
+        x, y = a[at] + k, b[at] + k
+        good = (x < n) & (y < n)
+        good[good] = t[x[good]] == t[y[good]]
+        at = at[good]
+        if not len(at):
+            break
+        out[at] += 1
+    return out
+
+
+def suffix_order(t: np.ndarray, depth: int = LENGTH, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``t`` in order of their first ``depth`` values at least, and the prefix that each shares with the one
+    before: exact below ``depth``, and not below it where the true length is not."""
     t = np.append(t.astype(np.int64) + 1, 0)  # the end is smaller than all
     small = _types(t)
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(stars) < 2:
-        return _induced(t, small, stars)[1:]
-    is_star = np.zeros(len(t), bool)
-    is_star[stars] = True
-    first = _induced(t, small, stars)
-    ranked = first[is_star[first]]  # the substrings from star to star, in order
-    number = np.zeros(len(t), np.int64)
-    number[stars] = np.arange(len(stars))
-    size = np.diff(np.append(stars, len(t) - 1)) + 1
-    power = np.cumprod(np.full(len(t), MULTIPLIERS[0]))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((t + 1).astype(np.uint64) * power)))
-    lengths = size[number[ranked]]
-    value = sums[ranked + lengths] - sums[ranked]
-    # equal up to the power of the place where each starts
-    same = (lengths[1:] == lengths[:-1]) & (value[1:] * power[ranked[:-1]] == value[:-1] * power[ranked[1:]])
-    rank = np.zeros(len(stars), np.int64)
-    rank[number[ranked]] = np.concatenate(([0], np.cumsum(~same)))
-    step = 1
-    while rank.max() + 1 < len(rank) and 2 * step <= depth:  # names of pairs of names, until they differ or reach the depth
-        after = np.zeros(len(rank), np.int64)
-        after[: max(0, len(rank) - step)] = rank[step:] + 1
-        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1]
-        step *= 2
-    return _induced(t, small, stars[np.argsort(rank, kind="stable")])[1:]
-
-
-def repeated_windows(strings: list[bytes]) -> list[np.ndarray]:
+    if len(stars) > 1:
+        by = stars[np.argsort(t[stars], kind="stable")]
+        first, _ = _induced(t, small, by, np.zeros(len(by), np.int64), folder)
+        number = np.full(len(t), -1, np.int64)
+        number[stars] = np.arange(len(stars))
+        ranked = first[number[first] >= 0]  # the substrings from star to star, in order
+        size = np.diff(np.append(stars, len(t) - 1)) + 1
+        power = np.cumprod(np.full(len(t), MULTIPLIERS[0]))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((t + 1).astype(np.uint64) * power)))
+        lengths = size[number[ranked]]
+        value = sums[ranked + lengths] - sums[ranked]
+        # equal up to the power of the place where each starts
+        same = (lengths[1:] == lengths[:-1]) & (value[1:] * power[ranked[:-1]] == value[:-1] * power[ranked[1:]])
+        rank = np.zeros(len(stars), np.int64)
+        rank[number[ranked]] = np.concatenate(([0], np.cumsum(~same)))
+        step = 1
+        while rank.max() + 1 < len(rank) and step <= depth:  # recursion on names of pairs of names, until they differ or reach the depth
+            after = np.zeros(len(rank), np.int64)
+            after[: max(0, len(rank) - step)] = rank[step:] + 1
+            rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1]
+            step *= 2
+        stars = stars[np.argsort(rank, kind="stable")]
+    lcp = np.concatenate(([0], _shared(t, stars[:-1], stars[1:], depth))) if len(stars) else np.zeros(0, np.int64)
+    order, lcp = _induced(t, small, stars, lcp, folder)
+    return order[1:], np.concatenate(([0], lcp[2:]))
+
+
+def repeated_windows(strings: list[bytes], folder: str | None = None) -> list[np.ndarray]:
     """For each string, which of its windows equal another window of these strings."""
     sizes = np.array([len(s) for s in strings])
     t = np.zeros(int(sizes.sum()) + len(strings), np.int16)
@@ -205,20 +301,15 @@ def repeated_windows(strings: list[bytes]) -> list[np.ndarray]:
     for b, s in zip(begin.tolist(), strings, strict=True):
         t[b : b + len(s)] = np.frombuffer(s, np.uint8)
         t[b : b + len(s)] += 1
-    order = suffix_order(t)
+    order, lcp = suffix_order(t, LENGTH, folder)
     end = np.repeat(begin + sizes, sizes + 1)
-    order = order[order + LENGTH <= end[order]]
-    at, equal = np.arange(len(order) - 1), np.zeros(max(0, len(order) - 1), bool)
-    for k in range(0, LENGTH, 4):  # neighbours that still agree are compared further
-        x, y = order[at], order[at + 1]
-        agree = np.ones(len(at), bool)
-        for j in range(k, k + 4):
-            agree &= t[x + j] == t[y + j]
-        at = at[agree]
-    equal[at] = True
+    whole = order + LENGTH <= end[order]  # suffixes that start a window
+    # Suffixes that share LENGTH values stand together; a stretch of them with two windows or more repeats. As no
+    # window holds a separator, a suffix that shares them with a window starts one itself.
+    stretch = np.cumsum(lcp < LENGTH)
+    many = np.bincount(stretch[whole], minlength=int(stretch[-1]) + 1 if len(stretch) else 0) > 1
     marks = np.zeros(len(t), bool)
-    marks[order[:-1][equal]] = True
-    marks[order[1:][equal]] = True
+    marks[order[whole & many[stretch]]] = True
     return [marks[b : b + max(0, n - LENGTH + 1)] for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
@@ -314,15 +405,18 @@ def _strings(docs: DataFrame, path: str) -> DataFrame:
 
 def _sorted_shards(strings: DataFrame) -> DataFrame:
     """(context, string, first, n): the repeated windows of strings with few others in their context."""
+    spill = new_path(strings.sparkSession, "queues")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         keys: list[tuple] = []
         held: list[bytes] = []
-        size, last = 0, None
+        size, last, folder = 0, None, f"{spill}/{TaskContext.get().taskAttemptId()}"
 
         def made() -> pa.RecordBatch | None:
             out: list[tuple] = []
-            for (context, string), marks in zip(keys, repeated_windows(held), strict=True):
+            for (context, string), marks in zip(keys, repeated_windows(held, folder), strict=True):
                 if marks.any():
                     for a, n in zip(*_spans(marks), strict=True):
                         out.append((context, string, int(a), int(n)))
