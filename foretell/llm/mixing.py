@@ -90,13 +90,13 @@ def _blocks(sizes: DataFrame, block_words: int | None) -> DataFrame:
         words = F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words)
     else:
         d, words = d.withColumn("block", F.lit(0).cast("long")), F.col("size")
-    return d.withColumn("words", words).withColumn("pos", F.xxhash64(F.lit(SEED), "doc_id", "block", "uid"))
+    return d.withColumn("words", words).withColumn("pos", F.xxhash64(F.lit(SEED), "doc_id", "block"))
 
 
 def _ranked(blocks: DataFrame) -> DataFrame:
     """blocks in order of (source, pos), with part, and rank and words before within part and source; no source is gathered."""
     order = [F.col("source").asc_nulls_last(), F.col("pos")]
-    ranged = blocks.repartitionByRange(*order).sortWithinPartitions(*order, "uid", "block").withColumn("part", F.spark_partition_id())
+    ranged = blocks.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "block", "size", "uid").withColumn("part", F.spark_partition_id())
     at = [blocks.columns.index(x) for x in ("source", "words")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def deal(taken: DataFrame, p: list[dict], shard_words: int = SHARD_WORDS) -> Dat
     each = taken.filter("times > 0").withColumn("time", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     each = each.withColumn("turn", F.col("time") * F.col("blocks") + F.col("rank")).join(_small(ends, shards * len(p)), "source_no")
     shard = F.size(F.filter("ends", lambda e: e <= F.col("turn")))
-    return each.withColumn("shard", shard).select("uid", "doc_id", "block", "words", "shard", F.xxhash64(F.lit(SEED), "shard", "uid", "block", "time").alias("place"))
+    return each.withColumn("shard", shard).select("uid", "doc_id", "block", "words", "shard", F.xxhash64(F.lit(SEED), "shard", "doc_id", "block", "time").alias("place"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
