@@ -99,9 +99,9 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     base = written(nodes.select("node", "tree", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).join(known, "parent", "left").select("node", "tree", F.col("known").alias("parent"), "score"), "nodes")
     # Nodes whose pointer has passed the root are done: only the open ones are joined and written again.
     first = written(base.select("node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "ancestors")
-    levels, done, now = [], first.filter("up is null"), first
+    levels, done, now, n = [], first.filter("up is null"), first, first.count()
     while not (open_ := now.filter("up is not null")).isEmpty():
-        if len(levels) > 40:
+        if 1 << len(levels) > 2 * n:  # no path is longer than there are nodes
             raise ValueError("the replies form a cycle")
         levels.append(open_)
         b = done.unionByName(open_).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
