@@ -45,7 +45,7 @@ class Model:
         return self.values[self.probabilities(x).argmax(1)] if self.classify else self.fitted.predict(x)
 
 
-def map_vectors(df: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, d: int, shared: object = None) -> DataFrame:
+def map_vectors(df: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, d: int) -> DataFrame:
     """Columns computed from x, appended to row_id; ``f`` gets (rows, d) arrays, a batch at a time. Only row_id and x are read."""
     sent = df.sparkSession.sparkContext.broadcast(f)
     names = [c.split()[0] for c in schema.split(", ")]

@@ -28,7 +28,7 @@ SURELY_MANY = 500
 #: Words that stand for true and false; fixed values.
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "t"), ("false", "no", "n", "f")
 #: Most support rows that are collected and sent to the executors.
-MAX_SUPPORT = 100_000
+MAX_SUPPORT = 50_000
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
