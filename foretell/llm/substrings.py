@@ -442,39 +442,52 @@ def _sorted_shards(strings: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame, width: int) -> DataFrame:
-    """Each row's windows by the offset of the anchor in them, ``width`` offsets a class, with the hash of the bytes that all windows of the class share."""
+    """Each row's windows by the offset of the anchor in them, ``width`` offsets a class: first window and number of them, and
+    two hashes, of the core that all windows of the class share and of the whole that these windows cover."""
     most = rows.columns.index("offset"), rows.columns.index("bytes"), rows.columns.index("lo"), rows.columns.index("size")
 
+    def digest(head: bytes, text: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(head + text, digest_size=8).digest(), "little", signed=True)
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["context", "string", "offset", "bytes", "lo", "size", "core"]
+        names = ["context", "string", "offset", "bytes"]
         for b in batches:
-            at, lows, cores = [], [], []
+            at, made = [], []
             for i, (a, text, lo, size) in enumerate(zip(*(b.column(j).to_pylist() for j in most), strict=True)):
                 least = a - (len(text) - LENGTH)  # the offset in the last window; in the first it is a
                 for low in range(lo, lo + size, width):
                     if low <= a and low + width > least:
+                        top, bottom = min(a, low + width - 1), max(low, least)
+                        first, n = a - top, top - bottom + 1
                         at.append(i)
-                        lows.append(low)
-                        cores.append(int.from_bytes(hashlib.blake2b(text[a - low : a + LENGTH - (low + width - 1)], digest_size=8).digest(), "little", signed=True))
+                        core = digest(b"", text[a - low : a + LENGTH - (low + width - 1)])
+                        made.append((low, width, core, digest(b"%d %d " % (top, n), text[first : first + n - 1 + LENGTH]), first, n))
             if at:
-                same = [b.column(b.schema.get_field_index(n)).take(pa.array(at)) for n in names[:4]]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(lows, pa.int32()), pa.array([width] * len(at), pa.int32()), pa.array(cores, pa.int64())], names=names)
+                same = [b.column(b.schema.get_field_index(n)).take(pa.array(at)) for n in names]
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True))], names=[*names, "lo", "size", "core", "whole", "first", "n"])
 
-    return rows.mapInArrow(f, "context long, string long, offset short, bytes binary, lo int, size int, core long")
+    return rows.mapInArrow(f, "context long, string long, offset short, bytes binary, lo int, size int, core long, whole long, first int, n int")
 
 
 def _refined_windows(strings: DataFrame) -> DataFrame:
     """The same for contexts with many strings. Windows are parted by the offset of their anchor, in ever narrower classes.
 
     Equal windows are of one class and share its core, 200 bytes less the class's width; a string whose core is alone in
-    its class leaves it. At width one the core is the window. All classes are counted by hash, over all tasks.
+    its class leaves it. Where two strings agree on all that their windows of a class cover, these all repeat, and one of
+    the strings stands for them in the next step. At width one the whole is the window. All is counted over all tasks.
     """
     rows = strings.filter("many").select("context", "string", "offset", "bytes", F.lit(0).alias("lo"), F.lit(REACH).alias("size"))
+    out = None
     for width in WIDTHS:
         each = written(_classes(rows, width), "classes")
-        twice = written(each.groupBy("context", "lo", "core").agg(F.count("*").alias("times")).filter("times > 1").drop("times"), "cores")
-        rows = each.join(twice, ["context", "lo", "core"]).drop("core")
-    return rows.select("context", "string", (F.col("offset") - F.col("lo")).cast("int").alias("first"), F.lit(1).alias("n"))
+        agreed = written(each.groupBy("context", "whole").agg(F.count("*").alias("times"), F.min("string").alias("one")).filter("times > 1").drop("times"), "wholes")
+        shared = written(each.groupBy("context", "lo", "core").agg(F.count("*").alias("times")).filter("times > 1").drop("times"), "cores")
+        found = written(each.join(agreed, ["context", "whole"], "left"), "classes")
+        ranges = found.filter("one is not null").select("context", "string", "first", "n")
+        out = ranges if out is None else out.unionByName(ranges)
+        rows = found.filter("one is null or one = string").join(shared, ["context", "lo", "core"], "left_semi").select("context", "string", "offset", "bytes", "lo", "size")
+    return out
 
 
 def repeats(docs: DataFrame) -> tuple[str, int]:
