@@ -36,6 +36,13 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def scan_only(df: DataFrame) -> bool:
+    """True if the plan reads one table of files and projects or filters it: then its partitions, and the row numbers that
+    ``monotonically_increasing_id`` gives, are the same each time, and the rows need not be written to be read again."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
+    return all(x.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for x in lines)
+
+
 def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Delete written tables that no later plan reads."""
     for t in tables:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filesystem, new_path, remove, written
+from ._common import filesystem, new_path, remove, scan_only, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -104,10 +104,11 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
     """Write (page_id, url, html) as an archive below ``path``; return it."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    staged = written(_digested(pages), "warc-rows")
-    roles = _roles(staged.select("uid", "page_id", "sha256", "size"))
+    # Payloads are read again rather than written once more; a row that met another's role would fail its digest below.
+    rows = _digested(pages) if scan_only(pages) else written(_digested(pages), "warc-rows")
+    digests = written(rows.select("uid", "page_id", "sha256", "size"), "warc-digests")
     # uid is unique, so this join is even; the payload moves once, next to its record's role.
-    keyed = staged.select("uid", "url", "payload").join(roles, "uid")
+    keyed = rows.select("uid", "url", "payload").join(_roles(digests), "uid")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -141,7 +142,7 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
             store.move(tmp, f"{root}/payloads-{ctx.partitionId():06d}.warc.gz")
 
     keyed.mapInArrow(write, "uid long, page_id long, sha256 string, header binary").write.option("compression", "zstd").parquet(f"{path}/headers")
-    remove(spark, staged)
+    remove(spark, rows, digests)
     return path
 
 
