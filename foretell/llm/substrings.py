@@ -38,7 +38,7 @@ from ._common import filesystem, new_path, remove, written
 LENGTH, REACH, GRAM = 200, 128, 16
 CONTEXT = LENGTH - REACH + 1
 PIECE = 1 << 20
-SHARD_BYTES, MANY = 400_000, 1_000
+SHARD_BYTES, MANY = 1_500_000, 1_000
 #: Widths of the classes of offsets by which the windows of a context with many strings are parted, in turn.
 WIDTHS = (32, 8, 1)
 #: Odd multipliers of the hash, one for each doubling; from a fixed generator.
@@ -158,12 +158,12 @@ class _Inducer:
     queue, the least common prefix that has passed since its last tuple.
     """
 
-    def __init__(self, t: np.ndarray, small: np.ndarray, want_small: bool, queues: Queues):
-        self.t, self.small, self.want, self.queues = t, small, want_small, queues
+    def __init__(self, t: np.ndarray, small: np.ndarray, want_small: bool, queues: Queues, carry: bool):
+        self.t, self.small, self.want, self.queues, self.carry = t, small, want_small, queues, carry
         self.least = np.full(int(t.max()) + 1, -1, np.int64)  # -1: an empty queue, whose first tuple shares nothing
 
     def send(self, places: np.ndarray, lcp: np.ndarray, aside: int = -1) -> np.ndarray:
-        """Sorted suffixes and the prefix that each shares with the one before; returns the tuples of queue ``aside``."""
+        """Sorted suffixes and the prefix that each shares with the one before (all 0 if ``carry`` is off); returns the tuples of queue ``aside``."""
         none = np.zeros((2, 0), np.int64)
         if not len(places):
             return none
@@ -174,18 +174,19 @@ class _Inducer:
         order = np.argsort(by, kind="stable")
         at, q, by = at[order], q[order], by[order]
         head = np.concatenate(([True], by[1:] != by[:-1])) if len(by) else np.zeros(0, bool)
-        start = np.where(head, 0, np.concatenate(([0], at[:-1] + 1))) if len(by) else at
-        shared = np.zeros(0, np.int64)
-        if len(by):
+        shared = np.zeros(len(by), np.int64)
+        if len(by) and self.carry:
+            start = np.where(head, 0, np.concatenate(([0], at[:-1] + 1)))
             padded = np.append(lcp, 0)
             shared = np.minimum.reduceat(padded, np.stack((start, at + 1), 1).ravel())[::2]
             shared[head] = np.minimum(shared[head], self.least[by[head]])
             shared = shared + 1  # an empty queue's -1 gives 0
-        later = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.iinfo(np.int64).max // 2)
-        self.least = np.where(self.least >= 0, np.minimum(self.least, later[0]), -1)
-        if len(by):
-            last = np.append(head[1:], True)
-            self.least[by[last]] = later[at[last] + 1]
+        if self.carry:
+            later = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.iinfo(np.int64).max // 2)
+            self.least = np.where(self.least >= 0, np.minimum(self.least, later[0]), -1)
+            if len(by):
+                last = np.append(head[1:], True)
+                self.least[by[last]] = later[at[last] + 1]
         out = none
         if len(by):
             cuts = np.append(np.flatnonzero(head), len(by))
@@ -198,14 +199,14 @@ class _Inducer:
         return out
 
 
-def _induced(t: np.ndarray, small: np.ndarray, stars: np.ndarray, star_lcp: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _induced(t: np.ndarray, small: np.ndarray, stars: np.ndarray, star_lcp: np.ndarray, folder: str | None = None, carry: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in the order that the leftmost S-suffixes induce, and the prefix that each shares with the one before."""
     n, sigma = len(t), int(t.max()) + 1
     ends = np.flatnonzero(np.append(t[1:] != t[:-1], True))
     run = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1  # how often the first value repeats
     cut = np.searchsorted(t[stars], np.arange(sigma + 1))
     queues = Queues(sigma, folder)
-    up = _Inducer(t, small, False, queues)
+    up = _Inducer(t, small, False, queues, carry)
     done: list[np.ndarray] = []
     for c in range(sigma):
         got, last = [], -1
@@ -220,7 +221,7 @@ def _induced(t: np.ndarray, small: np.ndarray, stars: np.ndarray, star_lcp: np.n
             up.send(own, shared)
         done.append(np.concatenate(got, 1) if got else np.zeros((2, 0), np.int64))
     queues = Queues(sigma, folder)
-    down = _Inducer(t, small, True, queues)
+    down = _Inducer(t, small, True, queues, carry)
     if small[-1]:
         queues.put(int(t[-1]), np.array([[n - 1], [0]]))
     places, shares = [], []
@@ -246,18 +247,22 @@ def _induced(t: np.ndarray, small: np.ndarray, stars: np.ndarray, star_lcp: np.n
 
 
 def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common prefix of the suffixes a and b, up to ``depth``."""
-    out, at = np.zeros(len(a), np.int64), np.arange(len(a))
-    n = len(t)
-    for k in range(depth):
-        x, y = a[at] + k, b[at] + k
-        good = (x < n) & (y < n)
-        good[good] = t[x[good]] == t[y[good]]
-        at = at[good]
+    """Length of the common prefix of the suffixes a and b, up to ``depth``; four values of 16 bits are compared at a time.
+
+    The end of ``t`` is unlike all else, so two suffixes differ before either runs out.
+    """
+    p = np.append(t, np.zeros(4, np.int64)).astype(np.uint64)
+    four = p[:-4] | p[1:-3] << np.uint64(16) | p[2:-2] << np.uint64(32) | p[3:-1] << np.uint64(48)
+    out, at = np.full(len(a), depth, np.int64), np.arange(len(a))
+    for k in range(0, depth, 4):
+        x = four[a[at] + k] ^ four[b[at] + k]
+        odd = x != 0
+        low = x[odd]
+        out[at[odd]] = k + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 16
+        at = at[~odd]
         if not len(at):
             break
-        out[at] += 1
-    return out
+    return np.minimum(out, depth)
 
 
 def suffix_order(t: np.ndarray, depth: int = LENGTH, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +273,7 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, folder: str | None = None)
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(stars) > 1:
         by = stars[np.argsort(t[stars], kind="stable")]
-        first, _ = _induced(t, small, by, np.zeros(len(by), np.int64), folder)
+        first, _ = _induced(t, small, by, np.zeros(len(by), np.int64), folder, False)  # for the names no prefixes are needed
         number = np.full(len(t), -1, np.int64)
         number[stars] = np.arange(len(stars))
         ranked = first[number[first] >= 0]  # the substrings from star to star, in order
