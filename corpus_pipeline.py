@@ -1,7 +1,8 @@
 """From raw documents to token ids, in five stages; each is one operator of ``foretell.llm`` over all that the one before kept.
 
 1. Quality rules: documents that the rules reject go.
-2. SimHash near-duplicates (three-word shingles, three bits of 64): of each group the document with the least id stays.
+2. Near-duplicates (five-word shingles, Jaccard similarity 0.8; SimHash links first, an exact filter for the rest): of each
+   group the document with the least id stays.
 3. Personal data: validated numbers, dates and addresses become pseudonyms of the same format.
 4. Mixing: documents are taken as often as their source's target weight asks, dealt to shards and shuffled.
 5. SentencePiece: the ids of each row that the mix takes.
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 
 from foretell.llm._common import remove, written
 from foretell.llm.mixing import mix_documents
+from foretell.llm.near_copies import keep_one
 from foretell.llm.pii import pseudonymise
 from foretell.llm.quality import keep_good
 from foretell.llm.queries import tokenizer_path
-from foretell.llm.simhash import keep_one
 from foretell.llm.unigram import encoded
 
 
