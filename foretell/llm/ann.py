@@ -8,14 +8,17 @@ weighted least squares, in turn.
 
 A query is a table of 16 scores for each sub-vector, held as 8-bit numbers; a scan adds table entries. The index is dealt
 out in blocks of ``BLOCK`` vectors and the queries in blocks of their own; each pair of blocks is one unit of work that
-leaves, for each query, its ``RERANK`` best by the codes. These are merged, and the best are reranked by exact cosines of
-the original vectors in double precision.
+leaves, for each query, its k nearest of the block by exact cosines in double precision. These are merged.
+
+Which vectors of a block are compared exactly: first the ``RERANK`` best by the codes, the k-th of which has cosine t, say.
+Let a unit vector x have the code x' and the residual x - x' = g x + r with r across x. For a query y with x.y = s, the part of
+y across x has length sqrt(1 - s^2), so x'.y >= (1 - g) s - |r| sqrt(1 - s^2), which rises with s >= 0. A vector
+whose approximate score is below that bound at t (less the rounding of the tables) can't be nearer than t; all others are
+compared too. So no neighbour is lost, and in a group of near copies, where t is near 1, the bound is tight.
 
 Copies: of equal vectors only the k + 1 with the least ids can be among the k nearest, so the rest are set aside first,
 which loses nothing; the limit is put before the shuffle (a partial one in each task).
 
-``RERANK``, or the square root of the number of candidates if that is more, are reranked for each query.
-
 The codebooks are fitted on a bounded sample: the ``SAMPLE`` vectors with the least keyed hash of their id. All rows are
 indexed. Defined cases: vectors that are null, zero or hold null or non-finite components, or another number of components than
 the most common one, take no part; rows with a null id neither; of rows that repeat an id
@@ -24,7 +27,6 @@ one counts (that with the least vector); ties go to the smaller id.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from ._common import written
 
 ETA, SAMPLE, ROUNDS, CENTRES, WIDTH = 4.0, 20_000, 8, 16, 2
-BLOCK, QUERIES, RERANK = 16_384, 512, 200
+BLOCK, QUERIES, RERANK = 16_384, 4096, 200
 SEED = 7
 
 
@@ -97,19 +99,51 @@ def encode(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return codes[:, ::2] | (codes[:, 1::2] << 4)
 
 
-def scan(queries: np.ndarray, packed: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Approximate scores (queries, vectors) from 8-bit tables, as whole numbers with each query's own scale."""
+def residuals(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed codes of unit vectors, and of each residual the part along the vector and the length of the part across it."""
+    packed = encode(x, centres)
+    codes = np.stack((packed & 15, packed >> 4), 2).reshape(len(x), -1)[:, : len(centres)]
+    r = x - centres[np.arange(len(centres)), codes].reshape(len(x), -1)[:, : x.shape[1]]
+    along = (r * x).sum(1)
+    return packed, along, np.sqrt(np.maximum(((r - along[:, None] * x) ** 2).sum(1), 0))
+
+
+def scan_scaled(queries: np.ndarray, packed: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Approximate scores (queries, vectors) from 8-bit tables, as whole numbers, with each query's step and offset."""
     m = len(centres)
     q = np.pad(queries, ((0, 0), (0, m * WIDTH - queries.shape[1]))).reshape(len(queries), m, WIDTH)
     table = np.einsum("qmw,mcw->qmc", q, centres)
     low = table.min(2, keepdims=True)
     step = np.maximum((table - low).max((1, 2), keepdims=True) / 255, 1e-12)
     small = np.rint((table - low) / step).astype(np.uint8)
-    out = np.zeros((len(queries), len(packed)), np.uint16)
+    out = np.zeros((len(queries), len(packed)), np.uint16 if m <= 257 else np.uint32)
     for j in range(m):
         codes = packed[:, j // 2] & 15 if j % 2 == 0 else packed[:, j // 2] >> 4
         out += small[:, j][:, codes]
-    return out
+    return out, step[:, 0, 0], low.sum((1, 2))
+
+
+def nearest(own: int, q: np.ndarray, approx: np.ndarray, slack: float, block: tuple, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, cosines) of the ``k`` nearest of a block but ``own``, exact; see the head of this file for the bound."""
+    ids, v, lengths, _, along, across = block
+    length = np.sqrt((q * q).sum())
+    exact = lambda at: (v[at] * q).sum(1) / (lengths[at] * length)
+
+    def best(at: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return np.lexsort((ids[at], -s))[:k]
+
+    others = np.flatnonzero(ids != own)
+    at = others if len(others) <= first else others[np.argpartition(-approx[others], first - 1)[:first]]
+    s = exact(at)
+    top = best(at, s)
+    if len(at) < len(others):
+        least = min(1.0, s[top[-1]])
+        # (1 - along) t - across sqrt(1 - t^2) rises with t from 0 on; below 0 nothing is ruled out
+        reach = (1 - along) * least - across * np.sqrt(1 - least * least) if least >= 0 else np.full(len(ids), -np.inf)
+        at = others[(approx >= reach - slack - 1e-9)[others] | (along[others] >= 1)]
+        s = exact(at)
+        top = best(at, s)
+    return ids[at[top]], s[top]
 
 
 def _rows(b: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
@@ -142,75 +176,74 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, rerank: int | Non
     x = x / scale
     centres = fit(x / np.linalg.norm(x, axis=1, keepdims=True))
     total, n_queries = kept.count(), rows.filter(is_query).count()
-    rerank = rerank or max(RERANK, math.isqrt(total))
+    rerank = max(rerank or RERANK, k + 1)
     blocks, query_blocks = -(-total // BLOCK), -(-n_queries // QUERIES)
 
     def code(b: pa.RecordBatch) -> pa.RecordBatch:
         v = _rows(b, "v", dim)
         v = v / np.abs(v).max(1, keepdims=True)
-        packed = encode(v / np.linalg.norm(v, axis=1, keepdims=True), centres)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([p.tobytes() for p in packed], pa.binary())], names=["vec_id", "code"])
+        packed, along, across = residuals(v / np.linalg.norm(v, axis=1, keepdims=True), centres)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(along), pa.array(across)], names=["vec_id", "v", "code", "along", "across"])
 
     from ._common import map_rows
 
-    index = written(map_rows(kept.select("vec_id", "v"), code, "vec_id long, code binary"), "index")
-    # A pair of blocks is a unit of work. A block of codes goes once to each block of queries, never a row to each row.
+    index = written(map_rows(kept.select("vec_id", "v"), code, "vec_id long, v array<double>, code binary, along double, across double"), "index")
+    # A pair of blocks is a unit of work. A block goes once to each block of queries, never a row to each row.
     units_c = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(max(query_blocks - 1, 0)))))
     units_q = rows.filter(is_query).withColumn("qblock", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(max(query_blocks, 1))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = units_c.select("block", "qblock", F.lit(0).alias("side"), "vec_id", "code", F.lit(None).cast("array<double>").alias("v")).unionByName(units_q.select("block", "qblock", F.lit(1).alias("side"), "vec_id", F.lit(None).cast("binary").alias("code"), "v"))
+    none = lambda t: F.lit(None).cast(t)
+    both = units_c.select("block", "qblock", F.lit(0).alias("side"), "vec_id", "v", "code", "along", "across").unionByName(units_q.select("block", "qblock", F.lit(1).alias("side"), "vec_id", "v", none("binary").alias("code"), none("double").alias("along"), none("double").alias("across")))
     order = ["block", "qblock", "side", "vec_id"]
     units = both.repartition(min(blocks * max(query_blocks, 1), 20_000), "block", "qblock").sortWithinPartitions(*order)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, ids, codes, waiting, at = None, [], [], [], None
+        unit, parts, block, waiting, at = None, [], None, [], []
 
-        def scored(q_ids: list, q: list) -> pa.RecordBatch | None:
-            if not ids or not q:
+        def scored() -> pa.RecordBatch | None:
+            nonlocal block
+            if not parts or not waiting:
                 return None
-            own_ids, packed = np.concatenate(ids), np.concatenate(codes)
-            qs = np.stack(q)
+            if block is None:
+                ids, v, packed, along, across = (np.concatenate(c) for c in zip(*parts, strict=True))
+                v = v / np.abs(v).max(1, keepdims=True)
+                block = ids, v, np.sqrt((v * v).sum(1)), packed, along, across
+            out = []
+            qs = np.stack(waiting)
             qs = qs / np.abs(qs).max(1, keepdims=True)
-            s = scan(qs / np.linalg.norm(qs, axis=1, keepdims=True), packed, centres).astype(np.int32)
-            keep = min(rerank + 1, s.shape[1])  # the query itself may be among them
-            # ids ascend, so a stable sort leaves ties to the smaller id
-            cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
-            out_q, out_v, out_s = [], [], []
-            for i, least in enumerate(cut):
-                above, level = np.flatnonzero(s[i] > least), np.flatnonzero(s[i] == least)
-                pick = np.concatenate((above, level[: keep - len(above)]))
-                out_q.append(np.full(len(pick), q_ids[i]))
-                out_v.append(own_ids[pick])
-                out_s.append(s[i, pick])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q), pa.int64()), pa.array(np.concatenate(out_v), pa.int64()), pa.array(np.concatenate(out_s), pa.int64())], names=["query_id", "vec_id", "approx"])
+            unit_q = qs / np.linalg.norm(qs, axis=1, keepdims=True)
+            whole, step, low = scan_scaled(unit_q, block[3], centres)
+            for i, q in enumerate(qs):
+                found, s = nearest(at[i], q, whole[i] * step[i] + low[i], step[i] * len(centres) / 2, block, k, rerank)
+                out.append((np.full(len(found), at[i]), found, s))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
         for b in batches:
-            for r in b.to_pylist():
-                if (r["block"], r["qblock"]) != unit:
-                    if waiting and (out := scored(at, waiting)) is not None:
+            if not b.num_rows:
+                continue
+            c = [b.column(i).to_numpy() for i in range(4)]
+            cuts = np.flatnonzero((np.diff(c[0]) != 0) | (np.diff(c[1]) != 0) | (np.diff(c[2]) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if (key := (c[0][lo], c[1][lo])) != unit:
+                    if (out := scored()) is not None:
                         yield out
-                    unit, ids, codes, waiting, at = (r["block"], r["qblock"]), [], [], [], []
-                if r["side"] == 0:
-                    ids.append(np.array([r["vec_id"]]))
-                    codes.append(np.frombuffer(r["code"], np.uint8)[None])
-                else:
-                    at.append(r["vec_id"])
-                    waiting.append(np.array(r["v"]))
+                    unit, parts, block, waiting, at = key, [], None, [], []
+                some = b.slice(lo, hi - lo)
+                v = np.asarray(some.column(4).flatten()).reshape(-1, dim)
+                if c[2][lo] == 0:
+                    packed = np.stack([np.frombuffer(x, np.uint8) for x in some.column(5).to_pylist()])
+                    parts.append((c[3][lo:hi].copy(), v, packed, some.column(6).to_numpy(), some.column(7).to_numpy()))
+                    continue
+                for x, q in zip(c[3][lo:hi].tolist(), v, strict=True):
+                    at.append(x)
+                    waiting.append(q)
                     if len(waiting) == 64:
-                        if (out := scored(at, waiting)) is not None:
+                        if (out := scored()) is not None:
                             yield out
                         waiting, at = [], []
-        if waiting and (out := scored(at, waiting)) is not None:
+        if (out := scored()) is not None:
             yield out
 
-    found = units.mapInArrow(near, "query_id long, vec_id long, approx long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
-    short = found.filter("query_id != vec_id").distinct().withColumn("r", F.row_number().over(best)).filter(F.col("r") <= rerank)
-    q = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    pairs = short.select("query_id", "vec_id").join(kept.select("vec_id", "v"), "vec_id").join(q, "query_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    size = lambda a: F.sqrt(dot(a, a))
-    scaled = pairs.withColumn("mq", F.array_max(F.transform("q", F.abs))).withColumn("mv", F.array_max(F.transform("v", F.abs)))
-    scaled = scaled.select("query_id", "vec_id", F.transform("q", lambda x: x / F.col("mq")).alias("a"), F.transform("v", lambda x: x / F.col("mv")).alias("b"))
-    score = scaled.select("query_id", "vec_id", (dot(F.col("a"), F.col("b")) / (size(F.col("a")) * size(F.col("b")))).alias("score"))
+    found = units.mapInArrow(near, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return score.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
 from helpers import docs, words
-from foretell.llm import near_copies
+from pyspark.sql import functions as F
+
+from foretell.llm import ann, near_copies
 
 
 def test_all_near_copies_go(spark):
@@ -27,3 +30,20 @@ def test_all_near_copies_go(spark):
     want = {min(i for i in range(len(texts)) if group[i] == g) for g in set(group)}
     assert {r.doc_id for r in near_copies.keep_one(docs(spark, texts)).collect()} == want
     assert near_copies.keep_one(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_search_in_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 64))
+    x[::3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(2000, 64)) * rng.choice([1e-4, 1e-3, 1e-2], (2000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, ids in got.items():
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(set(ids) & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 120 and hits == 600
