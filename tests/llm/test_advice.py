@@ -1,12 +1,14 @@
 """Whole results where an operator once did less: near copies, near neighbours in dense groups, junk of each length."""
 
+import base64
 import random
+import string
 
 import numpy as np
 from helpers import docs, words
 from pyspark.sql import functions as F
 
-from foretell.llm import ann, near_copies
+from foretell.llm import ann, near_copies, quality
 
 
 def test_all_near_copies_go(spark):
@@ -47,3 +49,16 @@ def test_search_in_a_group_of_near_copies(spark):
         s[q] = -9
         hits += len(set(ids) & set(np.argsort(-s)[:5].tolist()))
     assert len(got) == 120 and hits == 600
+
+
+def test_bands_reject_junk_of_each_length(spark):
+    rng = random.Random(4)
+    few = lambda n, size: " ".join(rng.choices(words(rng, n).split(), k=size // 5))[:size]
+    encoded = lambda size: " ".join(base64.b64encode(rng.randbytes(30)).decode() for _ in range(size // 41 + 1))[:size]
+    printable = lambda size: "".join(rng.choices(string.digits + string.ascii_letters + string.punctuation + " " * 12, k=size))
+    junk = [few(8, n) for n in (9_700, 29_000)] + [few(12, 29_000)] + [encoded(n) for n in (700, 999, 3_000, 9_000)] + [printable(n) for n in (299, 450, 900)]
+    good = [words(rng, n) for n in (60, 150, 400, 1_000, 4_000)]
+    good += [(good[3] + " " + words(rng, 2_000))[: 4096 + n] for n in (30, 130)]
+    got = {r.doc_id: r for r in quality.quality(docs(spark, junk + good)).collect()}
+    assert [i for i in range(len(junk)) if got[i].kept] == []
+    assert [i for i in range(len(junk), len(junk) + len(good)) if not got[i].kept] == []
