@@ -1,39 +1,23 @@
-"""Shared folder, written tables and Arrow helpers that the operators of this folder have in common."""
+"""Arrow helpers, file systems and joins on hot keys that the operators of this folder have in common."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from foretell.sources.shared import kept, kept_path, new_path, remove, scope, shared_dir, written  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="foretell-")
-        sc.setCheckpointDir(found)
-    found = found.rstrip("/")
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder; a job that runs again never meets the files of another."""
-    return f"{shared_dir(spark)}/foretell/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there, and lost executors cost no upstream work."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
+def n_tasks(df: DataFrame, size: int) -> int:
+    """Tasks for a table if each is meant to take ``size`` bytes, by the planner's estimate; the session's partitions at least."""
+    spark = df.sparkSession
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-estimate // size), 1_000_000))
 
 
 def scan_only(df: DataFrame) -> bool:
@@ -43,15 +27,6 @@ def scan_only(df: DataFrame) -> bool:
     return all(x.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for x in lines)
 
 
-def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
-    """Delete written tables that no later plan reads."""
-    for t in tables:
-        path = t if isinstance(t, str) else getattr(t, "_written_at", None)
-        if path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def filesystem(uri: str):
     """(file system, path) of a URI, for Python workers; any store that pyarrow knows (file, hdfs, s3, gs)."""
     from pyarrow import fs
@@ -85,6 +60,104 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of one key that a task of a join is meant to take; a key with more is dealt to several.
+KEY_ROWS = 100_000
+#: Hot keys up to which the table of them is broadcast; there are fewer than rows / KEY_ROWS.
+MOST_HOT = 100_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one``, whose keys are unique; ``counts`` (the keys and n) says how many rows of ``many`` a key has.
+
+    A key with more than ``KEY_ROWS`` rows is hot: its row of ``one`` is copied to so many tasks as its rows fill, and its rows
+    are dealt among them by a hash of their other columns.
+    """
+    hot = counts.filter(F.col("n") > KEY_ROWS).select(*on, F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("salts_"))
+    if hot.isEmpty():
+        return many.join(one, on, how)
+    hot = written(hot, "hot-keys")
+    hot = F.broadcast(hot) if hot.count() <= MOST_HOT else hot
+    rest = [c for c in many.columns if c not in on]
+    dealt = many.join(hot, on, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("salts_")).cast("int"), F.lit(0))).drop("salts_")
+    copies = one.join(hot, on, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("salts_", F.lit(1)) - 1))).drop("salts_")
+    return dealt.join(copies, [*on, "salt_"], how).drop("salt_")
+
+
+def by_part(df: DataFrame, name: str, parts: int, outlive: bool = False) -> str:
+    """Write rows so that those of one partition (column part) of another table are in a folder of their own, by ``row``; the path."""
+    path = (kept_path if outlive else new_path)(df.sparkSession, name)
+    df.repartition(max(1, parts), "part").sortWithinPartitions("part", "row").write.option("compression", "zstd").partitionBy("part").parquet(path)
+    return path
+
+
+def read_part(path: str, part: int, columns: list[str]) -> pa.Table | None:
+    """What :func:`by_part` wrote for one partition, in order of ``row``; None if there is nothing."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = filesystem(path)
+    folder = f"{root}/part={part}"
+    if store.get_file_info(folder).type == fs.FileType.NotFound:
+        return None
+    files = sorted(x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet"))
+    return pa.concat_tables([pq.read_table(store.open_input_file(x), columns=columns) for x in files]).sort_by("row") if files else None
+
+
+def parquet_batches(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a written table, file after file, in batches: for workers that go through all of a table in the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = filesystem(path)
+    for name in sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet")):
+        with store.open_input_file(name) as f:
+            yield from pq.ParquetFile(f).iter_batches(rows)
+
+
+def _listed(df: DataFrame, uids: DataFrame, uid: str, outlive: bool, pick, schema) -> DataFrame:
+    """``pick(batch, marks)`` of each batch, marks telling which rows have one of these ``monotonically_increasing_id``s. The ids go
+    back to the partitions of ``df`` (a plan that is :func:`scan_only`), so no row of ``df`` is shuffled."""
+    at = uids.select(F.shiftright(uid, 33).cast("int").alias("part"), F.col(uid).bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    path = by_part(at, "rows", df.rdd.getNumPartitions(), outlive)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        found = read_part(path, part, ["row"])
+        rows, first, seen = found.column("row").to_numpy() if found is not None else np.zeros(0, np.int64), 0, 0
+        for b in batches:
+            lo, hi = np.searchsorted(rows, (first, first + b.num_rows)).tolist()
+            marks = np.zeros(b.num_rows, bool)
+            marks[rows[lo:hi] - first] = True
+            yield from pick(b, marks, (part << 33) + first)
+            first, seen = first + b.num_rows, seen + hi - lo
+        if seen < len(rows):
+            raise ValueError("the rows were not read in the same partitions again")
+
+    return df.mapInArrow(f, schema)
+
+
+def without_rows(df: DataFrame, uids: DataFrame, uid: str) -> DataFrame:
+    """``df`` without the rows of these ids; the list outlives the present scope."""
+
+    def pick(b, marks, first):
+        yield b.filter(pa.array(~marks)) if marks.any() else b
+
+    return _listed(df, uids, uid, True, pick, df.schema)
+
+
+def rows_of(df: DataFrame, uids: DataFrame, uid: str) -> DataFrame:
+    """The rows of these ids, with their id in column ``uid`` in front."""
+
+    def pick(b, marks, first):
+        if marks.any():
+            some = b.filter(pa.array(marks))
+            yield pa.RecordBatch.from_arrays([pa.array(first + np.flatnonzero(marks)), *some.columns], names=[uid, *some.schema.names])
+
+    return _listed(df, uids, uid, False, pick, T.StructType([T.StructField(uid, T.LongType()), *df.schema.fields]))
+
+
 def partition_offsets(spark: SparkSession, counts: list[tuple[int, int]]) -> dict[int, int]:
     """Start of each partition from (partition, count); one entry per partition, not per row."""
     out, total = {}, 0

@@ -2,8 +2,8 @@
 
 Each round is two aggregations and two joins; labels fall to the least node of a component in a number of rounds that
 grows with the logarithm of its diameter. Nothing is collected but one count and one checksum a round. Each round's
-edges are a written table in the shared folder, so a lost executor repeats one round at most. A hub (a node with very many edges) is
-spread over ``SALTS`` keys in the joins.
+edges are a written table in the shared folder, so a lost executor repeats one round at most. A hub (a node with very many
+edges) is spread in the joins over as many tasks as its edges fill.
 """
 
 from __future__ import annotations
@@ -11,16 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import remove, written
-
-SALTS = 8
+from ._common import remove, spread_join, written
 
 
 def _with_least(sym: DataFrame) -> DataFrame:
     """(u, v) with m, the least of u and its neighbours."""
-    least = sym.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return sym.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "salt"]).drop("salt")
+    least = sym.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
+    return spread_join(sym, least.select("u", "m"), ["u"], least.select("u", "n"))
 
 
 def _sum(edges: DataFrame) -> tuple:
