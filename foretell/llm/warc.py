@@ -11,8 +11,8 @@
 Equality of payloads is equality of SHA-256 and length; readers compute both digests again from the stored bytes and
 raise if one differs. ``restore`` joins headers and payloads on the digest to get each original record, byte for byte.
 
-Which record of a digest is the response is decided on (digest, id) rows; payloads are never shuffled for it, and a
-digest that a third of the rows share costs one salted join.
+Which record of a digest is the response is decided on (digest, id) rows, and goes back to the partitions that the pages were
+read in; payloads are shuffled once, in ``restore``, and there each distinct one.
 
 Defined cases: null html is an empty payload; null url an empty target; of equal payloads the largest page_id is the
 response, null page_ids being smallest and ties (repeated rows) going to the row written last. An empty table gives an
@@ -31,13 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filesystem, new_path, remove, scan_only, written
+from ._common import by_part, filesystem, map_rows, new_path, read_part, scan_only, scope, spread_join, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads from this size on may be stored as revisits.
 MIN_BYTES = 0
-SALTS = 8
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -60,6 +59,7 @@ def header(kind: str, uid: int, page_id: int | None, url: str | None, sha1: str,
         b"WARC-Payload-Digest: sha1:" + sha1.encode(),
         b"X-Payload-SHA256: " + sha256.encode(),
         b"X-Page-ID: " + (b"" if page_id is None else str(page_id).encode()),
+        b"X-Record: " + str(uid).encode(),
     ]
     if refers_to:
         lines += [b"WARC-Profile: " + PROFILE.encode(), b"WARC-Refers-To: " + record_id(refers_to[0]).encode(), b"X-Refers-To-Page: " + (b"" if refers_to[1] is None else str(refers_to[1]).encode())]
@@ -92,68 +92,74 @@ def _digested(pages: DataFrame) -> DataFrame:
     return rows.withColumns({"sha256": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long"), "uid": F.monotonically_increasing_id()})
 
 
-def _roles(rows: DataFrame) -> DataFrame:
-    """rows with (first_uid, first_page) of the response of their digest; salted, as one digest may hold a third of all rows."""
-    salted = rows.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int"))
-    first = salted.groupBy("sha256", "size").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "uid")).alias("first"), F.count("*").alias("n"))
-    shared = first.filter("n > 1").select("sha256", "size", F.col("first.uid").alias("first_uid"), F.col("first.page_id").alias("first_page"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return salted.join(shared, ["sha256", "size", "salt"], "left").drop("salt")
+def _revisits(digests: DataFrame) -> DataFrame:
+    """(uid, first_uid, first_page) of the records that revisit another: those of shared digests, but for their responses."""
+    first = digests.groupBy("sha256", "size").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "uid")).alias("first"), F.count("*").alias("n"))
+    shared = written(first.filter("n > 1").select("sha256", "size", F.col("first.uid").alias("first_uid"), F.col("first.page_id").alias("first_page"), "n"), "shared")
+    rows = spread_join(digests.filter(F.col("size") >= MIN_BYTES), shared.drop("n"), ["sha256", "size"], shared)
+    return rows.filter("uid != first_uid").select("uid", "first_uid", "first_page")
 
 
 def write_archive(pages: DataFrame, path: str | None = None) -> str:
-    """Write (page_id, url, html) as an archive below ``path``; return it."""
+    """Write (page_id, url, html) as an archive below ``path``; return it.
+
+    Payloads are written where they are read: which records are revisits goes back to the partitions of ``pages``, so no
+    payload is shuffled. ``pages`` is read twice, in the same partitions; a table that isn't read from files is written first.
+    """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    # Payloads are read again rather than written once more; a row that met another's role would fail its digest below.
-    rows = _digested(pages) if scan_only(pages) else written(_digested(pages), "warc-rows")
-    digests = written(rows.select("uid", "page_id", "sha256", "size"), "warc-digests")
-    # uid is unique, so this join is even; the payload moves once, next to its record's role.
-    keyed = rows.select("uid", "url", "payload").join(_roles(digests), "uid")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ctx, (store, root) = TaskContext.get(), filesystem(path)
-        tmp, out = f"{root}/_payloads-{ctx.partitionId():06d}-{ctx.taskAttemptId()}", None
-        try:
-            for b in batches:
-                uids, pages_, digests, heads = [], [], [], []
-                for r in b.to_pylist():
-                    payload, sha256 = r["payload"], r["sha256"]
-                    if hashlib.sha256(payload).hexdigest() != sha256 or len(payload) != r["size"]:
-                        raise ValueError(f"payload of record {r['uid']} does not match its digest")
-                    again = r["first_uid"] is not None and r["first_uid"] != r["uid"] and r["size"] >= MIN_BYTES
-                    args = (r["uid"], r["page_id"], r["url"], base32_sha1(payload), sha256)
-                    kept = b"" if again else payload
-                    stored = header("revisit" if again else "response", *args, len(kept), (r["first_uid"], r["first_page"]) if again else None)
-                    if out is None:
-                        store.create_dir(root, recursive=True)
-                        out = store.open_output_stream(tmp)
-                    out.write(gzip.compress(stored + CRLF + kept + CRLF + CRLF, 5, mtime=0))
-                    uids.append(r["uid"])
-                    pages_.append(r["page_id"])
-                    digests.append(sha256)
-                    heads.append(header("response", *args, len(payload)))
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(pages_, pa.int64()), pa.array(digests, pa.string()), pa.array(heads, pa.binary())], names=["uid", "page_id", "sha256", "header"])
-        finally:
+    with scope(spark):
+        pages = pages if scan_only(pages) else written(pages.select("page_id", "url", "html"), "pages")
+        rows = _digested(pages)
+        digests = written(rows.select("uid", "page_id", "sha256", "size"), "digests")
+        again = _revisits(digests).select(F.shiftright("uid", 33).cast("int").alias("part"), F.col("uid").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), "uid", "first_uid", "first_page")
+        roles = by_part(again, "revisits", pages.rdd.getNumPartitions())
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            ctx, (store, root) = TaskContext.get(), filesystem(path)
+            found = read_part(roles, ctx.partitionId(), ["row", "uid", "first_uid", "first_page"])
+            role = {u: (f, p) for u, f, p in zip(*(found.column(c).to_pylist() for c in ("uid", "first_uid", "first_page")), strict=True)} if found is not None else {}
+            tmp, out = f"{root}/_payloads-{ctx.partitionId():06d}-{ctx.taskAttemptId()}", None
+            try:
+                for b in batches:
+                    uids, pages_, digests, heads = [], [], [], []
+                    for page_id, url, payload, sha256, _, uid in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                        args = (uid, page_id, url, base32_sha1(payload), sha256)
+                        first = role.pop(uid, None)
+                        stored = b"" if first else payload
+                        if out is None:
+                            store.create_dir(root, recursive=True)
+                            out = store.open_output_stream(tmp)
+                        out.write(gzip.compress(header("revisit" if first else "response", *args, len(stored), first) + CRLF + stored + CRLF + CRLF, 5, mtime=0))
+                        uids.append(uid)
+                        pages_.append(page_id)
+                        digests.append(sha256)
+                        heads.append(header("response", *args, len(payload)))
+                    yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(pages_, pa.int64()), pa.array(digests, pa.string()), pa.array(heads, pa.binary())], names=["uid", "page_id", "sha256", "header"])
+            finally:
+                if out is not None:
+                    out.close()
+            if role:
+                raise ValueError("the pages were not read in the same partitions again")
             if out is not None:
-                out.close()
-        if out is not None:
-            store.move(tmp, f"{root}/payloads-{ctx.partitionId():06d}.warc.gz")
+                store.move(tmp, f"{root}/payloads-{ctx.partitionId():06d}.warc.gz")
 
-    keyed.mapInArrow(write, "uid long, page_id long, sha256 string, header binary").write.option("compression", "zstd").parquet(f"{path}/headers")
-    remove(spark, rows, digests)
+        rows.select("page_id", "url", "payload", "sha256", "size", "uid").mapInArrow(write, "uid long, page_id long, sha256 string, header binary").write.option("compression", "zstd").parquet(f"{path}/headers")
     return path
 
 
+RECORDS = "uid long, page_id long, kind string, sha1 string, sha256 string, refers_to long, content binary"
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archive's WARC files: uid_, page_id, kind, sha1, sha256, refers_to, content (null for revisits)."""
+    """Records of the archive's WARC files: uid, page_id, kind, sha1, sha256, refers_to, content (null for revisits)."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/payloads-*.warc.gz"))
     names = [(str(s.getPath().getName()),) for s in found]
-    schema = "page_id long, kind string, record_id string, sha1 string, sha256 string, refers_to long, content binary"
     if not names:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], RECORDS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = filesystem(path)
@@ -168,7 +174,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                         if kind == "response" and (base32_sha1(content) != sha1 or hashlib.sha256(content).hexdigest() != h["x-payload-sha256"]):
                             raise ValueError(f"payload of {h['warc-record-id']} does not match its digest")
                         page, to = h["x-page-id"], h.get("x-refers-to-page")
-                        rows.append((int(page) if page else None, kind, h["warc-record-id"], sha1, h["x-payload-sha256"], int(to) if to else None, content if kind == "response" else None))
+                        rows.append((int(h["x-record"]), int(page) if page else None, kind, sha1, h["x-payload-sha256"], int(to) if to else None, content if kind == "response" else None))
                         size += len(content)
                         if size > 8_000_000 or len(rows) >= 5_000:
                             yield _batch(rows)
@@ -176,36 +182,47 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return spark.createDataFrame(names, "name string").repartition(len(names)).mapInArrow(read, schema)
+    return spark.createDataFrame(names, "name string").repartition(len(names)).mapInArrow(read, RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "kind", "record_id", "sha1", "sha256", "refers_to", "content"])
+    types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
 
-def restore(spark: SparkSession, path: str) -> DataFrame:
-    """(uid, page_id, record): every original record, header and full payload, by a join on the digest.
+def restore(spark: SparkSession, path: str, heads: DataFrame | None = None) -> DataFrame:
+    """(uid, page_id, record): every original record, header and full payload, by a join on the digest; columns that ``heads``
+    (rows of the headers table) has besides are passed on.
 
-    The headers are the large, perhaps skewed side; payloads are unique by digest and salted against hot ones.
+    A payload is copied to as many tasks as its records fill, so a digest that a third of the records share is spread.
     """
-    heads = spark.read.parquet(f"{path}/headers").withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int"))
-    times = heads.groupBy("sha256").agg(F.count("*").alias("n"))
-    payloads = read_archive(spark, path).filter("kind = 'response'").select("sha256", "content").join(times, "sha256")
-    spread = payloads.dropDuplicates(["sha256"]).withColumn("salt", F.explode(F.when(F.col("n") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))))
-    # a digest that occurs once is joined without salt, so its payload is copied once
-    heads = heads.join(times.withColumnRenamed("n", "of"), "sha256").withColumn("salt", F.when(F.col("of") > 1, F.col("salt")).otherwise(F.lit(-1)))
+    own = spark.read.parquet(f"{path}/headers")
+    heads = own if heads is None else heads
+    payloads = read_archive(spark, path).filter("kind = 'response'").select("sha256", "content").dropDuplicates(["sha256"])
     crlf = F.lit(bytearray(CRLF))
-    return heads.join(spread, ["sha256", "salt"]).select("uid", "page_id", F.concat("header", crlf, "content", crlf, crlf).alias("record"))
+    joined = spread_join(heads, payloads, ["sha256"], own.groupBy("sha256").agg(F.count("*").alias("n")))
+    return joined.select(*[c for c in heads.columns if c not in ("header", "sha256")], F.concat("header", crlf, "content", crlf, crlf).alias("record"))
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
-    """Write an archive of ``pages``, read it back, and return a row per page from what was read."""
+    """Write an archive of ``pages`` and return a row per page from the records that are reconstructed from it: size and digest
+    are those of the payload in the reconstructed record, type and reference those of the record in the WARC files."""
     spark = pages.sparkSession
-    read = read_archive(spark, write_archive(pages))
-    rows = written(read.select("page_id", "kind", "record_id", "sha1", "sha256", "refers_to", F.octet_length("content").cast("long").alias("size")), "warc-read")
-    # A revisit has no block of its own: its size is that of the payload stored under its digest.
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-    again = rows.filter("kind = 'revisit'").select("sha256").distinct()
-    sizes = rows.filter("kind = 'response'").join(again, "sha256", "left_semi").select("sha256", F.col("size").alias("full"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return salted.join(sizes, ["sha256", "salt"], "left").select("page_id", F.coalesce("size", "full").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+    path = write_archive(pages)
+    stored = read_archive(spark, path).select("uid", "kind", "refers_to")
+    heads = spark.read.parquet(f"{path}/headers").join(stored, "uid")
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, digests = [], []
+        for record in b.column(3):
+            head, _, rest = record.as_py().partition(CRLF + CRLF)
+            h, payload = parse_header(head + CRLF), rest[: -len(CRLF + CRLF)]
+            digest = base32_sha1(payload)
+            if len(payload) != int(h["content-length"]) or "sha1:" + digest != h["warc-payload-digest"]:
+                raise ValueError(f"{h['warc-record-id']} was not reconstructed as it was")
+            sizes.append(len(payload))
+            digests.append(digest)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), b.column(1), b.column(2)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    whole = restore(spark, path, heads).select("page_id", "kind", "refers_to", "record")
+    return map_rows(whole, f, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
