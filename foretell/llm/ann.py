@@ -6,23 +6,29 @@ that weighs the part of the residual along the vector ``ETA`` times as much as t
 scores of the queries near the vector. Codes are chosen by coordinate descent on the whole vector's loss, centres by
 weighted least squares, in turn.
 
-A query is a table of 16 scores for each sub-vector, held as 8-bit numbers; a scan adds table entries. The index is dealt
-out in blocks of ``BLOCK`` vectors and the queries in blocks of their own; each pair of blocks is one unit of work that
-leaves, for each query, its k nearest of the block by exact cosines in double precision. These are merged.
+A query is a table of 16 scores for each sub-vector, held as 8-bit numbers; a scan adds table entries. The index is scanned
+where it lies, in partitions of some ten thousand vectors: a task reads the queries from the shared folder, a stretch at a
+time, and leaves, for each query, the k nearest of its own rows by exact cosines in double precision. Only these are shuffled.
+So neither vectors nor codes move. Each query is scored against every row, a table entry for each two dimensions: in some 64
+dimensions without clusters, lists of coarse centres would have to be probed in their majority to find nine of ten neighbours.
 
-Which vectors of a block are compared exactly: first the ``RERANK`` best by the codes, the k-th of which has cosine t, say.
+Which vectors of a partition are compared exactly: first the ``RERANK`` best by the codes, the k-th of which has cosine t, say.
 Let a unit vector x have the code x' and the residual x - x' = g x + r with r across x. For a query y with x.y = s, the part of
 y across x has length sqrt(1 - s^2), so x'.y >= (1 - g) s - |r| sqrt(1 - s^2), which rises with s >= 0. A vector
 whose approximate score is below that bound at t (less the rounding of the tables) can't be nearer than t; all others are
 compared too. So no neighbour is lost, and in a group of near copies, where t is near 1, the bound is tight.
 
+Cosines are sums in order of the components, of vectors scaled by powers of two, so that neither the partitioning nor the
+scaling changes a bit of them.
+
 Copies: of equal vectors only the k + 1 with the least ids can be among the k nearest, so the rest are set aside first,
 which loses nothing; the limit is put before the shuffle (a partial one in each task).
 
 The codebooks are fitted on a bounded sample: the ``SAMPLE`` vectors with the least keyed hash of their id. All rows are
-indexed. Defined cases: vectors that are null, zero or hold null or non-finite components, or another number of components than
-the most common one, take no part; rows with a null id neither; of rows that repeat an id
-one counts (that with the least vector); ties go to the smaller id.
+indexed. Defined cases: vectors that are null, zero or hold null or non-finite components take no part, and rows with a null id
+neither; vectors of different lengths are never compared, so those of each length are searched by themselves; rows that repeat
+an id are rows like any other, as queries and as candidates (a row is only kept from itself); ties go to the smaller id; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import kept, map_rows, parquet_batches, scope, written
 
 ETA, SAMPLE, ROUNDS, CENTRES, WIDTH = 4.0, 20_000, 8, 16, 2
-BLOCK, QUERIES, RERANK = 16_384, 4096, 200
+#: Rows of the index and queries that a task holds at a time; vectors compared first.
+BLOCK, QUERIES, RERANK = 65_536, 4096, 200
 SEED = 7
 
 
@@ -116,6 +123,7 @@ def scan_scaled(queries: np.ndarray, packed: np.ndarray, centres: np.ndarray) ->
     low = table.min(2, keepdims=True)
     step = np.maximum((table - low).max((1, 2), keepdims=True) / 255, 1e-12)
     small = np.rint((table - low) / step).astype(np.uint8)
+    # sums of m entries of 255 at most: 16 bits hold them up to m = 257, 32 bits far beyond any vector
     out = np.zeros((len(queries), len(packed)), np.uint16 if m <= 257 else np.uint32)
     for j in range(m):
         codes = packed[:, j // 2] & 15 if j % 2 == 0 else packed[:, j // 2] >> 4
@@ -123,127 +131,121 @@ def scan_scaled(queries: np.ndarray, packed: np.ndarray, centres: np.ndarray) ->
     return out, step[:, 0, 0], low.sum((1, 2))
 
 
-def nearest(own: int, q: np.ndarray, approx: np.ndarray, slack: float, block: tuple, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, cosines) of the ``k`` nearest of a block but ``own``, exact; see the head of this file for the bound."""
-    ids, v, lengths, _, along, across = block
-    length = np.sqrt((q * q).sum())
-    exact = lambda at: (v[at] * q).sum(1) / (lengths[at] * length)
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each, so that the largest component lies in [1/2, 1): no square overflows, no digit changes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
 
-    def best(at: np.ndarray, s: np.ndarray) -> np.ndarray:
-        return np.lexsort((ids[at], -s))[:k]
 
-    others = np.flatnonzero(ids != own)
-    at = others if len(others) <= first else others[np.argpartition(-approx[others], first - 1)[:first]]
-    s = exact(at)
-    top = best(at, s)
-    if len(at) < len(others):
-        least = min(1.0, s[top[-1]])
-        # (1 - along) t - across sqrt(1 - t^2) rises with t from 0 on; below 0 nothing is ruled out
-        reach = (1 - along) * least - across * np.sqrt(1 - least * least) if least >= 0 else np.full(len(ids), -np.inf)
-        at = others[(approx >= reach - slack - 1e-9)[others] | (along[others] >= 1)]
-        s = exact(at)
-        top = best(at, s)
-    return ids[at[top]], s[top]
+def in_order(products: np.ndarray) -> np.ndarray:
+    """Sum of each row, from its first number to its last."""
+    return np.cumsum(products, axis=1)[:, -1]
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
 
+class Block:
+    """Rows of the index in a task: uid, vec_id, scaled vectors with their lengths, codes and residuals."""
 
-def _rows(b: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
-    return np.asarray(b.column(b.schema.get_field_index(name)).flatten()).reshape(-1, dim)
+    def __init__(self, uid, ids, v, packed, along, across):
+        self.uid, self.ids, self.v, self.packed, self.along, self.across = uid, ids, scaled(v), packed, along, across
+        self.lengths = np.sqrt(in_order(self.v * self.v))
+
+    def nearest(self, own: int, q: np.ndarray, length: float, approx: np.ndarray, slack: float, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of the ``k`` nearest but the row ``own`` itself, exact; see the head of this file for the bound."""
+
+        def best(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            s = in_order(self.v[at] * q) / (self.lengths[at] * length)
+            top = np.lexsort((self.uid[at], self.ids[at], -s))[:k]
+            return at[top], s[top]
+
+        others = np.flatnonzero(self.uid != own)
+        if len(others) <= first:
+            return best(others)
+        at, s = best(others[np.argpartition(approx[others], len(others) - first)[-first:]])
+        # (1 - along) t - across sqrt(1 - t^2) rises with t from 0 on; below 0 nothing is ruled out
+        t = min(1.0, s[-1])
+        reach = (1 - self.along) * t - self.across * np.sqrt(1 - t * t) if t >= 0 else np.full(len(self.ids), -np.inf)
+        return best(others[(approx >= reach - slack - 1e-9)[others] | (self.along[others] >= 1)])
 
 
-def _usable(dim: int) -> F.Column:
+def _usable() -> F.Column:
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.col("v").isNotNull() & (F.size("v") == dim) & ~bad & F.exists("v", lambda x: x != 0)
+    return F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0)
+
+
+RESULT = "query_id long, rank int, vec_id long, score double"
+FOUND = "query long, query_id long, uid long, vec_id long, score double"
 
 
 def search(vectors: DataFrame, is_query: F.Column, k: int = 5, rerank: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` nearest of each query among the rows of (vec_id, embedding) but its own."""
+    """(query_id, rank, vec_id, score) of the ``k`` nearest of each query among the rows of (vec_id, embedding) but itself."""
     spark = vectors.sparkSession
-    rows = vectors.selectExpr("cast(vec_id as long) vec_id", "cast(embedding as array<double>) v").filter("vec_id is not null and v is not null")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None or dims["d"] < 1:
-        return empty
-    dim = dims["d"]
-    rows = written(rows.filter(_usable(dim)).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    rows = vectors.withColumn("q_", is_query).selectExpr("cast(vec_id as long) vec_id", "cast(embedding as array<double>) v", "coalesce(q_, false) is_query")
+    with scope(spark):
+        rows = written(rows.filter("vec_id is not null").filter(_usable()).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+        parts = [_search(rows.filter(F.size("v") == r["d"]), r["d"], k, max(rerank or RERANK, k + 1)) for r in rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+        if not parts:
+            return spark.createDataFrame([], RESULT)
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid"))
+        return kept(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
+
+
+def _search(rows: DataFrame, dim: int, k: int, rerank: int) -> DataFrame:
+    """``FOUND``: the ``k`` nearest of each query in each partition of the index."""
+    spark = rows.sparkSession
     # Of equal vectors the k + 1 least ids are enough: the query itself and k others.
-    same = F.row_number().over(Window.partitionBy("hash", "v").orderBy("vec_id"))
-    kept = written(rows.withColumn("hash", F.xxhash64("v")).withColumn("same", same).filter(F.col("same") <= k + 1).drop("same", "hash"), "candidates")
-    sample = kept.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(SAMPLE).collect()
-    if not sample:
-        return empty
-    x = np.array([r["v"] for r in sample])
-    scale = np.abs(x).max(1, keepdims=True)  # first by the largest component, so that squares neither overflow nor vanish
-    x = x / scale
-    centres = fit(x / np.linalg.norm(x, axis=1, keepdims=True))
-    total, n_queries = kept.count(), rows.filter(is_query).count()
-    rerank = max(rerank or RERANK, k + 1)
-    blocks, query_blocks = -(-total // BLOCK), -(-n_queries // QUERIES)
+    same = F.row_number().over(Window.partitionBy("hash", "v").orderBy("vec_id", "uid"))
+    candidates = written(rows.withColumn("hash", F.xxhash64("v")).withColumn("same", same).filter(F.col("same") <= k + 1).select("uid", "vec_id", "v"), "candidates")
+    sample = candidates.orderBy(F.xxhash64(F.lit(SEED), "vec_id", "uid"), "uid").limit(SAMPLE).select("v").toArrow()
+    centres = fit(unit(np.asarray(sample.column("v").combine_chunks().flatten()).reshape(-1, dim)))
 
     def code(b: pa.RecordBatch) -> pa.RecordBatch:
-        v = _rows(b, "v", dim)
-        v = v / np.abs(v).max(1, keepdims=True)
-        packed, along, across = residuals(v / np.linalg.norm(v, axis=1, keepdims=True), centres)
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(along), pa.array(across)], names=["vec_id", "v", "code", "along", "across"])
-
-    from ._common import map_rows
-
-    index = written(map_rows(kept.select("vec_id", "v"), code, "vec_id long, v array<double>, code binary, along double, across double"), "index")
-    # A pair of blocks is a unit of work. A block goes once to each block of queries, never a row to each row.
-    units_c = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(max(query_blocks - 1, 0)))))
-    units_q = rows.filter(is_query).withColumn("qblock", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(max(query_blocks, 1))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    none = lambda t: F.lit(None).cast(t)
-    both = units_c.select("block", "qblock", F.lit(0).alias("side"), "vec_id", "v", "code", "along", "across").unionByName(units_q.select("block", "qblock", F.lit(1).alias("side"), "vec_id", "v", none("binary").alias("code"), none("double").alias("along"), none("double").alias("across")))
-    order = ["block", "qblock", "side", "vec_id"]
-    units = both.repartition(min(blocks * max(query_blocks, 1), 20_000), "block", "qblock").sortWithinPartitions(*order)
+        packed, along, across = residuals(unit(_vectors(b.column(2), dim)), centres)
+        codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([*b.columns, codes, pa.array(along), pa.array(across)], names=["uid", "vec_id", "v", "code", "along", "across"])
+
+    index = written(map_rows(candidates, code, "uid long, vec_id long, v array<double>, code binary, along double, across double"), "index")
+    queries = written(rows.filter("is_query").select("uid", "vec_id", "v"), "queries")
+    folder = queries._written_at
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, parts, block, waiting, at = None, [], None, [], []
-
-        def scored() -> pa.RecordBatch | None:
-            nonlocal block
-            if not parts or not waiting:
-                return None
-            if block is None:
-                ids, v, packed, along, across = (np.concatenate(c) for c in zip(*parts, strict=True))
-                v = v / np.abs(v).max(1, keepdims=True)
-                block = ids, v, np.sqrt((v * v).sum(1)), packed, along, across
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= BLOCK:
+                yield from scanned(held)
+                held, size = [], 0
+        if held:
+            yield from scanned(held)
+
+    def scanned(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        one = [t.column(i).combine_chunks() for i in range(6)]
+        packed = np.stack([np.frombuffer(x, np.uint8) for x in one[3].to_pylist()])
+        block = Block(one[0].to_numpy(), one[1].to_numpy(), _vectors(one[2], dim), packed, one[4].to_numpy(), one[5].to_numpy())
+        for b in parquet_batches(folder, QUERIES):
+            uid, ids, raw = b.column(0).to_numpy(), b.column(1).to_numpy(), _vectors(b.column(2), dim)
+            q = scaled(raw)
+            lengths, units = np.sqrt(in_order(q * q)), unit(raw)
             out = []
-            qs = np.stack(waiting)
-            qs = qs / np.abs(qs).max(1, keepdims=True)
-            unit_q = qs / np.linalg.norm(qs, axis=1, keepdims=True)
-            whole, step, low = scan_scaled(unit_q, block[3], centres)
-            for i, q in enumerate(qs):
-                found, s = nearest(at[i], q, whole[i] * step[i] + low[i], step[i] * len(centres) / 2, block, k, rerank)
-                out.append((np.full(len(found), at[i]), found, s))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+            for lo in range(0, len(q), 64):
+                whole, step, low = scan_scaled(units[lo : lo + 64], block.packed, centres)
+                for i in range(lo, min(lo + 64, len(q))):
+                    at, s = block.nearest(uid[i], q[i], lengths[i], whole[i - lo] * step[i - lo] + low[i - lo], step[i - lo] * len(centres) / 2, k, rerank)
+                    out.append((np.full(len(at), uid[i]), np.full(len(at), ids[i]), block.uid[at], block.ids[at], s))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            c = [b.column(i).to_numpy() for i in range(4)]
-            cuts = np.flatnonzero((np.diff(c[0]) != 0) | (np.diff(c[1]) != 0) | (np.diff(c[2]) != 0)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
-                if (key := (c[0][lo], c[1][lo])) != unit:
-                    if (out := scored()) is not None:
-                        yield out
-                    unit, parts, block, waiting, at = key, [], None, [], []
-                some = b.slice(lo, hi - lo)
-                v = np.asarray(some.column(4).flatten()).reshape(-1, dim)
-                if c[2][lo] == 0:
-                    packed = np.stack([np.frombuffer(x, np.uint8) for x in some.column(5).to_pylist()])
-                    parts.append((c[3][lo:hi].copy(), v, packed, some.column(6).to_numpy(), some.column(7).to_numpy()))
-                    continue
-                for x, q in zip(c[3][lo:hi].tolist(), v, strict=True):
-                    at.append(x)
-                    waiting.append(q)
-                    if len(waiting) == 64:
-                        if (out := scored()) is not None:
-                            yield out
-                        waiting, at = [], []
-        if (out := scored()) is not None:
-            yield out
-
-    found = units.mapInArrow(near, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), index.rdd.getNumPartitions())
+    return index.repartition(tasks, "uid").mapInArrow(near, FOUND)
+
+
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(-1, dim)
