@@ -9,14 +9,14 @@ A suffix sort of all text moves many tuples for every byte. Here it is kept for
 2. Contexts that occur once hold no repeated window: most text ends here. If all runs of a context have one string, all
    their windows repeat.
 3. Otherwise the distinct strings of the context are suffix-sorted: strings are dealt out by context in shards of bounded
-   size, and each shard is sorted by induction: the order of the leftmost S-suffixes by recursion on pairs of names, then
+   size, and each shard is sorted by induction: the order of the leftmost S-suffixes by doubling names of pairs of names, then
    that of all suffixes. Tuples of suffix and common prefix pass through queues by first byte, which go to disk (the
    shared folder) beyond a bound. Windows that share LENGTH bytes with a neighbour repeat. A context with more than ``MANY`` distinct strings isn't sorted in one
    task: its windows are parted by their offsets and longer shared cores, in steps, and counted over all tasks.
 4. The repeated windows go back to their documents, which are read again in the same partitions; no text is shuffled.
 
-Strings are judged on the input. Hashes of 64 bits are used in pairs (context and run, context and window), so equality
-is decided on 128 bits, and inside a shard on the bytes. Documents are never cut; a long one is worked through in pieces
+Strings are judged on the input. Hashes of 64 bits, keyed anew each run, are used in pairs (context and run, context and
+window), so equality is decided on 128 bits, and inside a shard on the bytes. Documents are never cut; a long one is worked through in pieces
 of ``PIECE`` windows, so memory is bounded by the text itself.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; repeated rows repeat each other's strings and
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import filesystem, new_path, remove, written
+from ._common import by_part, filesystem, new_path, read_part, remove, scan_only, scope, spread_join, written
 
 LENGTH, REACH, GRAM = 200, 128, 16
 CONTEXT = LENGTH - REACH + 1
@@ -41,25 +41,28 @@ PIECE = 1 << 20
 SHARD_BYTES, MANY = 1_500_000, 1_000
 #: Widths of the classes of offsets by which the windows of a context with many strings are parted, in turn.
 WIDTHS = (32, 8, 1)
-#: Odd multipliers of the hash, one for each doubling; from a fixed generator.
-MULTIPLIERS = np.random.default_rng(2024).integers(1 << 62, 1 << 63, 16, np.uint64) | np.uint64(1)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * MULTIPLIERS[8]
+def multipliers() -> np.ndarray:
+    """Odd multipliers of the hashes, drawn anew for each run, so that no text can be made to collide with another."""
+    return np.random.default_rng().integers(1 << 62, 1 << 63, 16, np.uint64) | np.uint64(1)
+
+
+def _mixed(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    x = x * m[8]
     x ^= x >> np.uint64(31)
-    x *= MULTIPLIERS[9]
+    x *= m[9]
     x ^= x >> np.uint64(29)
     return x
 
 
-def _hashes(data: np.ndarray) -> dict[int, np.ndarray]:
+def _hashes(data: np.ndarray, m: np.ndarray) -> dict[int, np.ndarray]:
     """Hash of the 1, 2, 4, ... 128 bytes from each place on (of what there is of them)."""
-    out = {1: data.astype(np.uint64) * MULTIPLIERS[10] + MULTIPLIERS[11]}
+    out = {1: _mixed(data.astype(np.uint64) * m[10] + m[11], m)}
     n = 1
     for k in range(7):
         h = out[n]
-        d = h * MULTIPLIERS[k]
+        d = h * m[k]
         d[: len(h) - n] += h[n:]
         d ^= d >> np.uint64(32)
         n *= 2
@@ -67,15 +70,15 @@ def _hashes(data: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
-def _runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def _runs(data: np.ndarray, ends: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
     """(start, count, offset of the anchor, context hash, string hash) of the runs of windows.
 
     ``ends``: for each place, the end of its document; a window lies within one document.
     """
     n = len(data)
-    h = _hashes(data)
+    h = _hashes(data, m)
     place = np.arange(n, dtype=np.uint64)
-    key = (_mixed(h[GRAM]) & ~np.uint64((1 << 24) - 1)) | place
+    key = (_mixed(h[GRAM], m) & ~np.uint64((1 << 24) - 1)) | place
     step = 1
     while step < REACH:  # the least of the next REACH keys, by doubling
         key[: n - step] = np.minimum(key[: n - step], key[step:])
@@ -88,10 +91,10 @@ def _runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(p) != 1) | (ends[p[1:]] != ends[p[:-1]]))))
     start, count = p[head], np.diff(np.append(head, len(p)))
     a = a[head]
-    context = _mixed(h[64][a] * MULTIPLIERS[12] + h[8][a + 64] * MULTIPLIERS[13] + h[1][a + CONTEXT - 1])
+    context = _mixed(h[64][a] * m[12] + h[8][a + 64] * m[13] + h[1][a + CONTEXT - 1], m)
     size = count + LENGTH - 1
-    string = h[128][start] * MULTIPLIERS[12] + h[128][start + (size - 128) // 2] * MULTIPLIERS[13] + h[128][start + size - 128] * MULTIPLIERS[14]
-    string = _mixed(string + (size * 512 + a - start).astype(np.uint64) * MULTIPLIERS[15])
+    string = h[128][start] * m[12] + h[128][start + (size - 128) // 2] * m[13] + h[128][start + size - 128] * m[14]
+    string = _mixed(string + (size * 512 + a - start).astype(np.uint64) * m[15], m)
     return start, count, a - start, context.view(np.int64), string.view(np.int64)
 
 
@@ -278,16 +281,15 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, folder: str | None = None)
         number[stars] = np.arange(len(stars))
         ranked = first[number[first] >= 0]  # the substrings from star to star, in order
         size = np.diff(np.append(stars, len(t) - 1)) + 1
-        power = np.cumprod(np.full(len(t), MULTIPLIERS[0]))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((t + 1).astype(np.uint64) * power)))
         lengths = size[number[ranked]]
-        value = sums[ranked + lengths] - sums[ranked]
-        # equal up to the power of the place where each starts
-        same = (lengths[1:] == lengths[:-1]) & (value[1:] * power[ranked[:-1]] == value[:-1] * power[ranked[1:]])
+        # neighbours with one name agree in length and in every value
+        even = np.flatnonzero(lengths[1:] == lengths[:-1])
+        same = np.zeros(len(ranked) - 1, bool)
+        same[even] = _shared(t, ranked[even], ranked[even + 1], int(lengths.max())) >= lengths[even]
         rank = np.zeros(len(stars), np.int64)
         rank[number[ranked]] = np.concatenate(([0], np.cumsum(~same)))
         step = 1
-        while rank.max() + 1 < len(rank) and step <= depth:  # recursion on names of pairs of names, until they differ or reach the depth
+        while rank.max() + 1 < len(rank) and step <= depth:  # names of pairs of names, doubled until they differ or reach the depth
             after = np.zeros(len(rank), np.int64)
             after[: max(0, len(rank) - step)] = rank[step:] + 1
             rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1]
@@ -333,6 +335,8 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
 
 
 def _all_runs(docs: DataFrame) -> DataFrame:
+    m = multipliers()
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -342,7 +346,7 @@ def _all_runs(docs: DataFrame) -> DataFrame:
             sizes = np.array([len(x) for x in texts])
             data = np.frombuffer(b"".join(texts), np.uint8)
             begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            start, count, offset, context, string = _runs(data, np.repeat(begin + sizes, sizes))
+            start, count, offset, context, string = _runs(data, np.repeat(begin + sizes, sizes), m)
             own = np.searchsorted(begin + sizes, start, side="right")
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(start), part, np.int32), (first_row + own).astype(np.int32), (start - begin[own] + shift).astype(np.int64), count.astype(np.int16), offset.astype(np.int16), context, string)], names=["part", "row", "start", "count", "offset", "context", "string"])
 
@@ -367,32 +371,13 @@ def _all_runs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(f, "part int, row int, start long, count short, offset short, context long, string long")
 
 
-def _by_part(df: DataFrame, name: str, parts: int) -> str:
-    """Write rows so that those of one partition of the documents are in a folder of their own; the path."""
-    path = new_path(df.sparkSession, name)
-    df.repartition(max(1, parts), "part").sortWithinPartitions("part", "row").write.option("compression", "zstd").partitionBy("part").parquet(path)
-    return path
-
-
-def _read_part(path: str, part: int, columns: list[str]) -> pa.Table | None:
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, root = filesystem(path)
-    folder = f"{root}/part={part}"
-    if store.get_file_info(folder).type == fs.FileType.NotFound:
-        return None
-    files = sorted(x.path for x in store.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet"))
-    return pa.concat_tables([pq.read_table(store.open_input_file(x), columns=columns) for x in files]).sort_by("row") if files else None
-
-
 def _strings(docs: DataFrame, path: str) -> DataFrame:
     """The bytes of the runs written at ``path``."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        wanted = _read_part(path, TaskContext.get().partitionId(), ["row", "start", "count", "offset", "context", "string", "many"])
+        wanted = read_part(path, TaskContext.get().partitionId(), ["row", "start", "count", "offset", "context", "string", "many"])
         if wanted is None:
             return
         rows, first = wanted.column("row").to_numpy(), 0
@@ -495,22 +480,21 @@ def _refined_windows(strings: DataFrame) -> DataFrame:
     return out
 
 
-def repeats(docs: DataFrame) -> tuple[str, int]:
-    """Write the repeated stretches of windows of (doc_id, text) by partition of ``docs``; the path, and the number of partitions."""
+def repeats(docs: DataFrame) -> str:
+    """Write the repeated stretches of windows of (doc_id, text) by partition of ``docs``; the path."""
     spark = docs.sparkSession
     parts = docs.rdd.getNumPartitions()
     runs = written(_all_runs(docs), "runs")
     of = runs.groupBy("context").agg(F.count("*").alias("n"), F.min("string").alias("a"), F.max("string").alias("b")).filter("n > 1")
-    # Written, so that the join has two plain shuffled sides and a hot context is split at run time.
-    of = written(of.select("context", (F.col("a") != F.col("b")).alias("mixed")), "contexts")
-    shared = written(runs.join(of, "context"), "shared-runs")
+    of = written(of.select("context", "n", (F.col("a") != F.col("b")).alias("mixed")), "contexts")
+    shared = written(spread_join(runs, of.drop("n"), ["context"], of), "shared-runs")
     remove(spark, runs, of)
     mixed = shared.filter("mixed")
     variants = mixed.groupBy("context", "string").agg(F.count("*").alias("times"), F.min(F.struct("part", "row", "start", "count", "offset")).alias("at"))
     variants = written(variants.select("context", "string", "times", "at.*"), "variants")
     many = written(variants.groupBy("context").agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select("context", F.lit(True).alias("many")), "many")
     parted = variants.join(many, "context", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    wanted = _by_part(parted.select("part", "row", "start", "count", "offset", "context", "string", "many"), "wanted", parts)
+    wanted = by_part(parted.select("part", "row", "start", "count", "offset", "context", "string", "many"), "wanted", parts)
     strings = written(_strings(docs, wanted), "strings")
     found = _sorted_shards(strings).unionByName(_refined_windows(strings))
     # A string that occurs twice repeats as a whole, whatever its neighbours say.
@@ -519,32 +503,29 @@ def repeats(docs: DataFrame) -> tuple[str, int]:
     ranges = written(whole.unionByName(partly), "ranges")
     there = shared.filter("not mixed").select("part", "row", "start", F.col("count").cast("int").alias("n"))
     edges = mixed.join(ranges, ["context", "string"]).select("part", "row", (F.col("start") + F.col("first")).alias("start"), "n")
-    path = _by_part(there.unionByName(edges), "repeats", parts)
+    path = by_part(there.unionByName(edges), "repeats", parts, outlive=True)
     remove(spark, shared, variants, wanted, strings, ranges)
-    return path, parts
-
-
-def _scan_only(df: DataFrame) -> bool:
-    """True if the plan reads one table of files and projects or filters it, so that its partitions are those of the files."""
-    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
-    return all(x.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for x in lines)
+    return path
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row of (doc_id, text); other columns are not read.
 
-    ``kept`` is the remaining bytes. The documents are read three times in the same partitions, which hold for a table
+    ``kept`` is the remaining bytes; without ``texts`` it is left out where it is made. The documents are read three times in the same partitions, which hold for a table
     read from files; anything else is written first.
     """
     d = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    if not _scan_only(d):
+    if not scan_only(d):
         d = written(d, "documents")
-    path, _ = repeats(d)
+    with scope(docs.sparkSession):
+        path = repeats(d)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    names, types = [x.split()[0] for x in schema.split(", ")], [pa.int64()] * 4 + [pa.string(), pa.binary()]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        spans = _read_part(path, TaskContext.get().partitionId(), ["row", "start", "n"])
+        spans = read_part(path, TaskContext.get().partitionId(), ["row", "start", "n"])
         rows = spans.column("row").to_numpy() if spans is not None else np.zeros(0, np.int64)
         starts, counts = (spans.column(c).to_numpy() for c in ("start", "n")) if spans is not None else (rows, rows)
         first, seen = 0, 0
@@ -565,12 +546,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     removed, n_spans = int(gone.sum()), len(_spans(gone)[0])
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     seen += hi - lo
-                out.append((doc, len(text), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept))
+                out.append((doc, len(text), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
             first += b.num_rows
             c = [*zip(*out, strict=True)]
-            types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=False)], names=names)
         if seen < len(rows):
             raise ValueError("the documents were not read in the same partitions again")
 
-    return d.mapInArrow(f, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return d.mapInArrow(f, schema)
