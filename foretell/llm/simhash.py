@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, map_rows, remove, written
+from ._common import free_name, kept, map_rows, remove, scan_only, scope, spread_join, written
 from .components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -36,6 +36,7 @@ BUDGET, SEGMENTS, BITS = 3, 8, 8
 #: Bits that the first l segments of a chain may differ in, for l = 1, 2, ...
 BUDGETS = tuple(length * BUDGET // SEGMENTS for length in range(1, SEGMENTS + 1))
 BLOCK = 2048
+#: Members up to which a key's pairs are compared as plain numbers, and not as arrays; the test is the same.
 FEW = 12
 
 
@@ -107,6 +108,13 @@ def _linked(one: np.uint64, others: np.ndarray, start: int) -> np.ndarray:
     return at[np.bitwise_count(x) <= BUDGET]
 
 
+def _chained(x: int, start: int) -> bool:
+    """Whether two fingerprints that differ by x keep the budgets of the chain from ``start`` on, and the whole one."""
+    k = start * BITS
+    ring = (x >> k | x << (64 - k)) & ((1 << 64) - 1)
+    return all((ring & ((1 << (BITS * length)) - 1)).bit_count() <= BUDGETS[length - 1] for length in range(3, SEGMENTS + 1))
+
+
 def forest(prints: np.ndarray, start: int) -> list[tuple[int, int]]:
     """Links that span each group of the members of one key."""
     n = len(prints)
@@ -116,7 +124,7 @@ def forest(prints: np.ndarray, start: int) -> list[tuple[int, int]]:
         out = []
         for j in range(1, n):
             for i in range(j):
-                if root[i] != root[j] and (values[i] ^ values[j]).bit_count() <= BUDGET:
+                if root[i] != root[j] and _chained(values[i] ^ values[j], start):
                     old = root[j]
                     root = [root[i] if r == old else r for r in root]
                     out.append((values[i], values[j]))
@@ -170,40 +178,46 @@ def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp), enough to connect each group."""
     keyed = written(prints.select("fp", F.explode(ring_keys(F.col("fp"))).alias("key")), "ring-keys", "lz4")
     # A key's members are counted first (partial sums before the shuffle), so that keys of one member go no further.
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = keyed.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "shared-keys", "lz4")
+    members = spread_join(keyed, shared.select("key", "blocks"), ["key"], shared).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     others = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
     dealt = members.withColumn("other", F.explode(others)).select("key", F.least("block", "other").cast("int").alias("one"), F.greatest("block", "other").cast("int").alias("two"), "fp")
     found = dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_forests, "a long, b long")
     out = written(found.distinct(), "links")
-    remove(prints.sparkSession, keyed)
+    remove(prints.sparkSession, keyed, shared)
     return out
 
 
-def groups(prints: DataFrame, least: F.Column) -> DataFrame:
-    """(fp, group_least): for each distinct fingerprint of ``prints``, the aggregate ``least`` over the rows that its links reach."""
-    each = written(prints.groupBy("fp").agg(least.alias("least")), "prints")
+def groups(prints: DataFrame, least: F.Column) -> tuple[DataFrame, DataFrame]:
+    """(fp, group_least) for each distinct fingerprint of ``prints``, the aggregate ``least`` over the rows that its links reach; and
+    (fp, n), its number of rows."""
+    each = written(prints.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")), "prints")
     found = connected_components(links(each.select("fp")))
     rooted = each.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "root")
     # Only fingerprints with links meet in a second step.
     alone = rooted.filter("root is null").select("fp", F.col("least").alias("group_least"))
-    linked = rooted.filter("root is not null")
-    per_group = linked.groupBy("root").agg(F.min("least").alias("group_least"))
-    return alone.union(linked.join(per_group, "root").select("fp", "group_least"))
+    linked = written(rooted.filter("root is not null"), "linked")
+    per_group = linked.groupBy("root").agg(F.min("least").alias("group_least"), F.count("*").alias("n"))
+    joined = spread_join(linked, per_group.drop("n"), ["root"], per_group.select("root", "n"))
+    return alone.union(joined.select("fp", "group_least")), each.select("fp", "n")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of (doc_id, text); other columns are not read."""
     d = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    at = written(with_fingerprint(d, "fp", size).select("doc_id", "fp"), "fingerprints")
-    found = groups(at, F.min("doc_id"))
-    return at.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("group_least").alias("component_id"))
+    with scope(docs.sparkSession):
+        at = written(with_fingerprint(d, "fp", size).select("doc_id", "fp"), "fingerprints")
+        found, counts = groups(at, F.min("doc_id"))
+        rows = spread_join(at, found, ["fp"], counts)
+        return kept(rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("group_least").alias("component_id")), "near-duplicates")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the least doc_id stays (unknown ids last, then the first written)."""
     fp, uid = free_name(docs, "_fp"), free_name(docs, "_uid")
-    at = written(with_fingerprint(docs, fp, size).withColumn(uid, F.monotonically_increasing_id()), "with-fingerprints")
-    found = groups(at.select(F.col(fp).alias("fp"), "doc_id", F.col(uid).alias("uid")), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("uid"))))
-    stay = found.select(F.col("group_least.uid").alias(uid)).distinct()
-    return at.join(stay, uid, "left_semi").select(*docs.columns)
+    read = docs if scan_only(docs) else kept(docs, "documents")
+    with scope(docs.sparkSession):
+        at = written(with_fingerprint(read.select("doc_id", "text"), fp, size).select("doc_id", fp).withColumn(uid, F.monotonically_increasing_id()), "with-fingerprints")
+        found, _ = groups(at.select(F.col(fp).alias("fp"), "doc_id", F.col(uid).alias("uid")), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("uid"))))
+        stay = kept(found.select(F.col("group_least.uid").alias(uid)).distinct(), "stay")
+    return read.withColumn(uid, F.monotonically_increasing_id()).join(stay, uid, "left_semi").select(*docs.columns)
