@@ -19,6 +19,7 @@ are ordered by their text. An empty table gives no files and no rows.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -29,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import filesystem, new_path, partition_offsets
+from ._common import filesystem, n_tasks, new_path, partition_offsets
 
 END_ID = 2
 MASK = 0xA282EAD8
 ENTRY = "<qqqI"
 #: Words whose ids a worker remembers; beyond, it starts anew. A bound on memory only, the ids are the same.
 MEMO = 400_000
+#: Bytes of input that one file is meant to hold.
+FILE_BYTES = 128 << 20
 
 
 def masked(data: bytes) -> int:
@@ -84,10 +87,11 @@ class WordEncoder:
     slow general normaliser and splitter are left out (tests compare the ids with the library's on whole texts).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, text: str):
+        """``text``: the content of the tokenizer's file."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(text)
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         rules = json.loads(self.tokenizer.to_str())
@@ -123,21 +127,34 @@ class WordEncoder:
         return [b"".join(map(get, words)) + last for words in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[int, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder a worker and file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(text: str) -> WordEncoder:
+    """One encoder a worker and tokenizer."""
+    key = hash(text)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(text)
+    return _encoders[key]
+
+
+def file_text(spark, path: str) -> str:
+    """A small file's text, from a local path or any store that Spark reads."""
+    if "://" not in path and os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    return spark.read.option("wholetext", True).text(path).first()[0]
 
 
 def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, files: int | None = None) -> tuple[str, list[tuple[int, int, int]]]:
-    """Write (doc_id, text) as record and index files below ``path``; return it and (file, records, ids) of each file."""
+    """Write (doc_id, text) as record and index files below ``path``; return it and (file, records, ids) of each file.
+
+    The tokenizer's file is read on the driver and sent to the tasks. ``files`` is set by the size of the input if not given.
+    """
     spark = docs.sparkSession
     path = path or new_path(spark, "records")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or n_tasks(docs, FILE_BYTES)
+    sent = spark.sparkContext.broadcast(file_text(spark, tokenizer))
     d = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     ranged = d.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
@@ -147,7 +164,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, file
 
         ctx, (store, root) = TaskContext.get(), filesystem(path)
         part, n, ids, at = ctx.partitionId(), 0, 0, 0
-        encode = encoder(tokenizer)
+        encode = encoder(sent.value)
         size = int(encode.width[-1])
         store.create_dir(root, recursive=True)
         tmp = f"{root}/_part-{part:06d}-{ctx.taskAttemptId()}"
