@@ -5,6 +5,11 @@ to base[s] + b if check holds s there. For a batch of distinct segments all posi
 step, as array operations; then the best path is found position by position over all segments together. A character
 that no piece covers falls back to its UTF-8 bytes as byte pieces (or to the unknown piece where the model has none).
 
+The model file's own rules hold: its normaliser (a table of replacements, compiled into another double array; extra white space;
+the marker in front), which pieces are unused or user-defined, and whether unknown characters become bytes or, a run at a
+time, the unknown piece. A file that asks for what is not done here (markers behind words, white space that is not escaped, a
+denormaliser, pieces with a marker after another character) is refused.
+
 White space: a space becomes the marker U+2581, and one marker is put in front of the text; decoding turns markers into
 spaces and drops the first. A text is cut into segments before each marker that follows another character. No piece holds
 a marker after another character, so a best path never crosses a cut, and equal segments are encoded once a worker.
@@ -13,7 +18,7 @@ Scores: a unigram file's own log scores; for a file that holds merge ranks inste
 log probabilities) the log of Zipf's law at the piece's rank. They are held as whole numbers of 2**-20, so path sums are
 exact; between equal sums the path whose last piece is longer wins.
 
-Defined cases: null or empty text has no pieces and decodes to the empty text; a marker in the text itself cannot be told
+Defined cases: null or empty text (and one of white space alone, where the model removes it) has no pieces and decodes to the empty text; a marker in the text itself cannot be told
 from a space (as in SentencePiece) and decodes to one; texts of any length are processed whole; each row stands alone.
 """
 
@@ -24,6 +29,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +75,19 @@ def _fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
         yield tag >> 3, tag & 7, value
 
 
-def read_model(path: str) -> tuple[list[tuple[str, float, int]], int]:
-    """The (piece, score, kind) of a model file, and its type (1 unigram, 2 byte pairs)."""
-    pieces, kind_of_model = [], 1
+@dataclass
+class Rules:
+    """What a model file says beside its pieces: type (1 unigram, 2 byte pairs), replacements, and what is done to white space."""
+
+    kind: int = 1
+    charsmap: bytes = b""
+    dummy_prefix: bool = True
+    remove_extra: bool = True
+
+
+def read_model(path: str) -> tuple[list[tuple[str, float, int]], Rules]:
+    """The (piece, score, kind) of a model file, and its rules."""
+    pieces, rules = [], Rules()
     with open(path, "rb") as f:
         data = f.read()
     for number, _, value in _fields(data):
@@ -88,8 +104,87 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], int]:
         elif number == 2:
             for n, _, v in _fields(value):
                 if n == 3:
-                    kind_of_model = v
-    return pieces, kind_of_model
+                    rules.kind = v
+                elif n == 24 and v:
+                    raise ValueError("a model that puts markers behind words is not supported")
+        elif number == 3:
+            for n, _, v in _fields(value):
+                if n == 2:
+                    rules.charsmap = v
+                elif n == 3:
+                    rules.dummy_prefix = bool(v)
+                elif n == 4:
+                    rules.remove_extra = bool(v)
+                elif n == 5 and not v:
+                    raise ValueError("a model that does not escape white space is not supported")
+        elif number == 5 and any(n == 2 and v for n, _, v in _fields(value)):
+            raise ValueError("a model with a denormaliser is not supported")
+    return pieces, rules
+
+
+def replacements(charsmap: bytes) -> dict[str, str]:
+    """The table of a compiled normaliser: a length, a double array of 32-bit units, and the new strings, each ended by a zero.
+
+    A unit holds its label in the low byte, its offset from bit 10 on (times 256 if bit 9 is set), and in bit 8 whether a string
+    ends there; the value then stands in the unit at the offset.
+    """
+    if not charsmap:
+        return {}
+    (size,) = struct.unpack_from("<I", charsmap)
+    units, strings = np.frombuffer(charsmap, "<u4", size // 4, 4).tolist(), charsmap[4 + size :]
+    offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    out, todo = {}, [(offset(units[0]), b"")]
+    while todo:
+        at, key = todo.pop()
+        for byte in range(1, 256):
+            child = at ^ byte
+            if child < len(units) and units[child] & 0x800000FF == byte:
+                below = child ^ offset(units[child])
+                if units[child] >> 8 & 1:
+                    start = units[below] & 0x7FFFFFFF
+                    out[(key + bytes([byte])).decode()] = strings[start : strings.index(b"\0", start)].decode()
+                todo.append((below, key + bytes([byte])))
+    return out
+
+
+class Normaliser:
+    """Text as the model wants it: replaced, without extra white space, spaces as markers, a marker in front."""
+
+    def __init__(self, rules: Rules, whole: list[str]):
+        """``whole``: pieces that no replacement may touch."""
+        self.rules, self.whole = rules, set(whole)
+        self.new = replacements(rules.charsmap)
+        first = "".join(sorted({k[0] for k in self.new} | {k[0] for k in whole}))
+        self.starts = re.compile(f"[{re.escape(first)}]") if first else None
+        self.longest = max(map(len, [*self.new, *whole]), default=0)
+
+    def replaced(self, text: str) -> str:
+        """The longest replacement at each place, but user-defined pieces first."""
+        if self.starts is None or not self.starts.search(text):
+            return text
+        out, at = [], 0
+        for m in self.starts.finditer(text):
+            p = m.start()
+            if p < at:
+                continue
+            keys = [text[p : p + n] for n in range(min(self.longest, len(text) - p), 0, -1)]
+            key = next((k for k in keys if k in self.whole), None)
+            new = key
+            if key is None:
+                key = next((k for k in keys if k in self.new), None)
+                new = self.new[key] if key is not None else None
+            if key is not None:
+                out += [text[at:p], new]
+                at = p + len(key)
+        return "".join([*out, text[at:]])
+
+    def __call__(self, text: str) -> str:
+        text = self.replaced(text)
+        if self.rules.remove_extra:
+            text = re.sub("  +", " ", text.lstrip(" ")).rstrip(f" {MARKER}")
+        if not text:
+            return ""
+        return MARKER * self.rules.dummy_prefix + text.replace(" ", MARKER)
 
 
 def zipf_scores(pieces: list[tuple[str, float, int]]) -> list[float]:
@@ -164,16 +259,20 @@ class Pieces:
     """A model: encode and decode."""
 
     def __init__(self, path: str):
-        pieces, kind = read_model(path)
-        scores = [p[1] for p in pieces] if kind == 1 else zipf_scores(pieces)
+        pieces, self.rules = read_model(path)
+        scores = [p[1] for p in pieces] if self.rules.kind == 1 else zipf_scores(pieces)
         self.text = [p[0] for p in pieces]
         self.kind = [p[2] for p in pieces]
         self.unknown = self.kind.index(UNKNOWN)
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k == BYTE}
-        usable = {t.encode(): i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k in (NORMAL, USER_DEFINED, UNUSED) and t}
+        usable = {t.encode(): i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k in (NORMAL, USER_DEFINED) and t}
         if any(MARKER in t.lstrip(MARKER) for t in (self.text[i] for i in usable.values())):
             raise ValueError("a piece holds the marker after another character: texts cannot be cut into segments")
-        least = min((scores[i] for i in usable.values()), default=0.0)
+        normal = [x for x, k in zip(scores, self.kind, strict=True) if k == NORMAL]
+        least, most = min(normal, default=0.0), max(normal, default=0.0)
+        # a user-defined piece is worth the best score for each of its bytes, so that it wins
+        scores = [len(t.encode()) * most - 0.1 if k == USER_DEFINED else x for t, k, x in zip(self.text, self.kind, scores, strict=True)]
+        self.normal_form = Normaliser(self.rules, [t for t, k in zip(self.text, self.kind, strict=True) if k == USER_DEFINED and t])
         self.score = np.round(np.array(scores) * SCALE).astype(np.int64)
         self.unknown_score = round((least - UNKNOWN_PENALTY) * SCALE)
         self.trie = Trie(usable)
@@ -184,7 +283,10 @@ class Pieces:
         """decode(), at the speed of a join where there are no byte, control or unknown pieces."""
         if len(ids) and (self.is_byte[ids].any() or ids.min() <= self.unknown + 2):
             return self.decode(ids.tolist())
-        return "".join(map(self.text.__getitem__, ids.tolist())).replace(MARKER, " ")[1:]
+        text = "".join(map(self.text.__getitem__, ids.tolist())).replace(MARKER, " ")
+        if self.rules.remove_extra:
+            return self.decode(ids.tolist()) if text.startswith("  ") else text.removeprefix(" ")
+        return text[1:] if self.rules.dummy_prefix else text
 
     def best(self, segments: list[str]) -> list[np.ndarray]:
         """Piece ids of each segment's best path."""
@@ -255,9 +357,14 @@ class Pieces:
             out.append(own_ids.astype(np.int32))
         return out
 
+    def plain(self, text: str) -> str:
+        """The text in its normal form, with spaces and without the marker in front: what decoding is to give."""
+        text = self.normal_form(text).replace(MARKER, " ")
+        return text.lstrip(" ") if self.rules.remove_extra else text[1:] if self.rules.dummy_prefix else text
+
     def segments(self, text: str) -> list[str]:
-        """The text with markers, cut before each marker that follows another character."""
-        return SEGMENT.findall(MARKER + text.replace(" ", MARKER)) if text else []
+        """The text in its normal form, cut before each marker that follows another character."""
+        return SEGMENT.findall(self.normal_form(text))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.segments(t or "") for t in texts]
@@ -275,11 +382,19 @@ class Pieces:
             self.memo.update(zip(missing[lo:hi], self.best(missing[lo:hi]), strict=True))
             lo = hi
         get, none = self.memo.__getitem__, np.zeros(0, np.int32)
-        return [np.concatenate([*map(get, x)]) if x else none for x in split]
+        out = [np.concatenate([*map(get, x)]) if x else none for x in split]
+        return out if self.bytes else [self.merged(x) for x in out]
+
+    def merged(self, ids: np.ndarray) -> np.ndarray:
+        """Without byte pieces, a run of unknown characters is one unknown piece."""
+        unknown = ids == self.unknown
+        return ids[~(unknown & np.append(False, unknown[:-1]))] if unknown.any() else ids
 
     def decode(self, ids) -> str:
-        """The text of piece ids: byte pieces join to characters, markers become spaces, the first marker goes."""
+        """The text of piece ids: byte pieces join to characters, markers become spaces, the marker in front goes (all in front
+        go where the model removes extra white space)."""
         out, run = [], bytearray()
+        front = self.rules.dummy_prefix or self.rules.remove_extra
         for i in ids:
             if self.kind[i] == BYTE:
                 run.append(int(self.text[i][3:5], 16))
@@ -290,11 +405,13 @@ class Pieces:
             if self.kind[i] == UNKNOWN:
                 out.append(" ⁇ ")
             elif self.kind[i] != CONTROL:
-                out.append(self.text[i])
+                piece = self.text[i]
+                if front and not any(out) and piece.startswith(MARKER):
+                    piece, front = piece[1:], self.rules.remove_extra
+                out.append(piece)
         if run:
             out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARKER, " ")
-        return text[1:] if text.startswith(" ") else text
+        return "".join(out).replace(MARKER, " ")
 
 
 SCHEMA = "doc_id long, n_pieces long, n_byte_pieces long, ids array<int>, ids_crc32 long, round_trip boolean"
@@ -314,9 +431,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             some = b.slice(lo, 500)
             texts = some.column(1).to_pylist()
             for doc, text, ids in zip(some.column(0).to_pylist(), texts, m.encode(texts), strict=True):
-                text = text or ""
                 n_bytes = int(m.is_byte[ids].sum()) if len(ids) else 0
-                rows.append((doc, len(ids), n_bytes, ids, zlib.crc32(ids.astype("<u4").tobytes()), m.quick_decode(ids) == text.replace(MARKER, " ")))
+                rows.append((doc, len(ids), n_bytes, ids, zlib.crc32(ids.astype("<u4").tobytes()), m.quick_decode(ids) == m.plain(text or "")))
         offsets = np.concatenate(([0], np.cumsum([r[1] for r in rows]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[3] for r in rows])))
         columns = [*zip(*rows, strict=True)]
