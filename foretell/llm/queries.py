@@ -85,12 +85,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import without_repeats
 
-    return without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return without_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
 #: The alphabet of base 32, a fixed value.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+#: Words: what is between the six ASCII spaces; of the contract.
+WORD = r"[^\x20\x09-\x0D]+"
+
 SQL = {
     "op4_reply_trees": r"""
 WITH t AS (
@@ -110,6 +113,70 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
        CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM c
+""",
+    "op8_mix_sources": rf"""
+WITH RECURSIVE sizes AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size FROM documents
+), sources AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source)
+), weighed AS (
+  SELECT *, CAST([3, 1, 2][1 + no % 3] AS DOUBLE) AS w FROM sources
+), rounds AS (  -- capped: whether the source has reached twice its size
+  SELECT 0 AS i, no, source, source_size, w, false AS capped, CAST(0 AS DOUBLE) AS target FROM weighed
+  UNION ALL
+  SELECT i + 1, no, source, source_size, w, capped OR unit * w >= 2 * source_size, CASE WHEN capped OR unit * w >= 2 * source_size THEN 2.0::DOUBLE * source_size ELSE unit * w END
+  FROM (SELECT *, (1.5 * CAST(sum(source_size) OVER () AS DOUBLE) - sum(CASE WHEN capped THEN target ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS unit FROM rounds)
+  WHERE i <= (SELECT count(*) FROM sources)
+), planned AS (
+  SELECT source, source_size, coalesce(target, 0) AS target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs
+  FROM rounds WHERE i = (SELECT max(i) FROM rounds)
+), blocks AS (
+  SELECT doc_id, source, block, least(256, size - 256 * block) AS words, ('0x' || substr(md5('20240601|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || block), 1, 15))::BIGINT AS pos
+  FROM (SELECT *, unnest(range((size + 255) // 256)) AS block FROM sizes)
+), ranked AS (
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY pos, doc_id, block ROWS UNBOUNDED PRECEDING) - words AS before FROM blocks
+), taken AS (
+  SELECT doc_id, sum(words * (epochs + CASE WHEN before + words / 2 <= target - epochs * source_size AND target > epochs * source_size THEN 1 ELSE 0 END)) AS taken
+  FROM ranked JOIN planned ON ranked.source IS NOT DISTINCT FROM planned.source GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM sizes s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN taken t ON t.doc_id = s.doc_id
+""",
+    "op7_anisotropic_search": """
+WITH e AS (
+  SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+), usable AS (
+  SELECT vec_id, v, sqrt(list_reduce([x * x FOR x IN v], lambda a, b: a + b)) AS length FROM e
+  WHERE v IS NOT NULL AND len(v) > 0 AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN v IF x <> 0]) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce([q.v[i] * c.v[i] FOR i IN range(1, len(c.v) + 1)], lambda a, b: a + b) / (c.length * q.length) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op10_suffix_dedup": r"""
+WITH d AS (  -- bytes as pairs of hexadecimal digits
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 400)) AS w FROM (SELECT doc_id, h, unnest(range(greatest(len(h) // 2 - 199, 0))) AS p FROM d)
+), again AS (
+  SELECT doc_id, p FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+), steps AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM again
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM steps) GROUP BY doc_id, run
+), gaps AS (  -- what stays: before each run, and after the last one
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs
+  UNION ALL SELECT d.doc_id, coalesce(max(r.b), 0), max(len(h) // 2) FROM d LEFT JOIN runs r USING (doc_id) GROUP BY d.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), gone AS (
+  SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
 """,
     "op3_warc_archive": f"""
 WITH p AS (
