@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import remove, written
+from ._common import kept, remove, scope, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 PIECE_CHARS = 1_000_000
@@ -94,9 +94,10 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """
     spark = nodes.sparkSession
     tables: list[DataFrame] = []
-    # A parent that is no node makes a root.
-    known = nodes.select(F.col("node").alias("parent"), F.col("node").alias("known"))
-    base = written(nodes.select("node", "tree", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).join(known, "parent", "left").select("node", "tree", F.col("known").alias("parent"), "score"), "nodes")
+    # A parent that is no node makes a root. Roots look for themselves, so that no task gets all rows without a parent.
+    known = nodes.select(F.col("node").alias("wanted"), F.col("node").alias("known"))
+    asked = nodes.select("node", "tree", "parent", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("parent", "node").alias("wanted"))
+    base = written(asked.join(known, "wanted", "left").select("node", "tree", F.when(F.col("parent").isNotNull(), F.col("known")).alias("parent"), "score"), "nodes")
     # Nodes whose pointer has passed the root are done: only the open ones are joined and written again.
     first = written(base.select("node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "ancestors")
     levels, done, now, n = [], first.filter("up is null"), first, first.count()
@@ -122,7 +123,11 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
 
 def formatted(nodes: DataFrame, top: int = 1) -> DataFrame:
     """Pieces (conv_id, path, first, text, spans) of the chosen paths of reply trees, written in the shared folder."""
-    paths = best_paths(nodes, top)
+    with scope(nodes.sparkSession):
+        return _formatted(nodes, best_paths(nodes, top))
+
+
+def _formatted(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     turns = paths.join(nodes.select("node", "role", "text"), "node").select("tree", "path", "seq", "role", "text")
     order = [F.col("tree").asc_nulls_first(), F.col("path"), F.col("seq")]
     ranged = turns.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -155,7 +160,7 @@ def formatted(nodes: DataFrame, top: int = 1) -> DataFrame:
         if done:
             yield made(done)
 
-    return written(ranged.mapInArrow(write, "conv_id long, path long, first long, text string, spans array<struct<start:int,end:int>>"), "formatted")
+    return kept(ranged.mapInArrow(write, "conv_id long, path long, first long, text string, spans array<struct<start:int,end:int>>"), "formatted")
 
 
 def read_back(pieces: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ._common import kept, scope
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,7 +49,8 @@ def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return read_back(formatted(chain_nodes(turns.unionByName(extra))))
+    with scope(spark):
+        return kept(read_back(formatted(chain_nodes(turns.unionByName(extra)))), "digests")
 
 
 def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
