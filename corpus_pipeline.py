@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretell.llm._common import remove, written
+from foretell.llm._common import kept, remove, scope
 from foretell.llm.mixing import mix_documents
 from foretell.llm.near_copies import keep_one
 from foretell.llm.pii import pseudonymise
@@ -60,10 +60,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out = written(out, f"stage-{k}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scope(spark):  # what a stage is read from goes when its rows are written
+            out = kept(stage(spark, docs, sf_dir), f"stage-{k}")
         remove(spark, docs)
         docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)

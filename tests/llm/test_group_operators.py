@@ -260,6 +260,31 @@ def test_search(spark):
     assert ann.search(few.limit(0), F.col("vec_id") == 0).count() == 0 and ann.search(few.filter("vec_id = 0"), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("dim", [768, 1536, 3072])
+def test_search_in_wide_vectors(spark, dim):
+    """Sums of table entries beyond 16 bits; clustered vectors, where codes alone tell members apart poorly."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(30, dim))[rng.integers(0, 30, 1500)] + 0.3 * rng.normal(size=(1500, dim))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q, ids in got.items():
+        s = u @ u[q]
+        s[q] = -9
+        assert ids == set(np.argsort(-s)[:5].tolist())
+    assert len(got) == 30
+
+
+def test_search_among_repeated_ids_and_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [1.0, 0.0, 0.0]), (50, [0.5, 0.5, 0.0]), (3, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.search(df, F.col("vec_id") % 50 == 0).collect())
+    near = round(1 / 1.01**0.5, 6)
+    assert got == sorted([(0, 1, 1, near), (0, 2, 1, near), (0, 3, 0, 0.0), (0, 4, 3, 0.0), (0, 1, 3, 1.0), (0, 2, 1, round(0.1 / 1.01**0.5, 6)), (0, 3, 1, round(0.1 / 1.01**0.5, 6)), (0, 4, 0, 0.0), (50, 1, 2, round(0.5**0.5, 6))])
+
+
 # Mixing
 
 
@@ -269,10 +294,52 @@ def test_targets():
     assert mixing.targets([], []) == [] and mixing.targets([0, 0], [1, 2]) == [0, 0]
 
 
+def dealt(tree):
+    """(shards, sources): how many of each source's places a shard has."""
+    out = np.zeros((tree.shards, len(tree.quotas)), np.int64)
+    for i, q in enumerate(tree.quotas.tolist()):
+        shards = tree.shards_of(i, np.arange(q))
+        assert (np.diff(shards) >= 0).all()  # disjoint stretches of the permuted blocks
+        out[:, i] = np.bincount(shards, minlength=tree.shards)
+    return out
+
+
 def test_tree_is_exact():
-    q = np.array([100, 0, 37, 5000])
-    d = mixing.split_tree(q, 7, np.random.default_rng(0))
-    assert (d.sum(0) == q).all() and np.ptp(d.sum(1)) <= 3 and (d == mixing.split_tree(q, 7, np.random.default_rng(0))).all()
+    q = [100, 0, 37, 5000]
+    d = dealt(mixing.SplitTree(q, 7))
+    assert d.sum(0).tolist() == q and np.ptp(d.sum(1)) <= 3 and (d == dealt(mixing.SplitTree(q, 7))).all()
+    some = np.array([3, 77, 1200, 4999])  # a task that sees a few places only agrees with one that sees all
+    assert (mixing.SplitTree(q, 7).shards_of(3, some) == mixing.SplitTree(q, 7).shards_of(3, np.arange(5000))[some]).all()
+
+
+def test_tree_of_large_quotas():
+    """Beyond 10**9 blocks: every node's quotas sum to its parent's, at any size."""
+    q = np.array([1_500_000_000, 1_200_000_000, 7, 90_000_000_000])
+    tree = mixing.SplitTree(q, 1_000_000)
+    todo, seen = [(q, 0, tree.shards)], 0
+    while todo and seen < 200:
+        q, lo, hi = todo.pop(0)
+        if hi - lo > 1:
+            left = tree.left(q, lo, hi)
+            seen += 1
+            assert (left >= 0).all() and (left <= q).all() and left.sum() == q.sum() * ((lo + hi) // 2 - lo) // (hi - lo)
+            todo += [(left, lo, (lo + hi) // 2), (q - left, (lo + hi) // 2, hi)]
+    assert tree.shards_of(3, np.array([0, 45_000_000_000, 89_999_999_999])).tolist()[::2] == [0, 999_999]
+
+
+def test_large_draws_follow_the_law(monkeypatch):
+    monkeypatch.setattr(mixing, "NUMPY_LIMIT", 0)  # the sampler for large counts, on counts that numpy can check
+    rng = np.random.default_rng(5)
+    for good, bad, draw in ((400_000, 700_000, 300_000), (150_000, 2_000_000, 1_900_000), (120_000, 130_000, 125_000)):
+        mine = np.array([mixing.hypergeometric(rng, good, bad, draw) for _ in range(6000)])
+        theirs = rng.hypergeometric(good, bad, draw, 6000)
+        assert abs(mine.mean() - theirs.mean()) < 5 * theirs.std() / 6000**0.5 and abs(mine.std() / theirs.std() - 1) < 0.06
+        edges = np.quantile(theirs, np.linspace(0, 1, 11)[1:-1])
+        a, b = (np.bincount(np.searchsorted(edges, x), minlength=10) for x in (mine, theirs))
+        assert ((a - b) ** 2 / (a + b)).sum() < 30  # nine degrees of freedom
+    thin = np.array([mixing.hypergeometric(rng, 50, 400_000, 200_000) for _ in range(2000)])
+    assert abs(thin.mean() - 50 * 200_000 / 400_050) < 0.5 and thin.max() <= 50
+    assert mixing.hypergeometric(rng, 5, 0, 5) == 5 and mixing.hypergeometric(rng, 0, 9, 4) == 0
 
 
 def test_mix(spark, monkeypatch):
@@ -299,10 +366,30 @@ def test_mix(spark, monkeypatch):
 
 def test_shards_hold_the_quotas(spark):
     rng = random.Random(1)
-    sizes = mixing.sized(docs(spark, [words(rng, 300) for _ in range(100)], ["a", "b", "c"]))
-    taken, p = mixing.take(sizes, block_words=50)
-    dealt = mixing.deal(taken, p, shard_words=3000).collect()
-    blocks = Counter((r.uid, r.block) for r in dealt)
-    assert blocks == Counter({(r.uid, r.block): r.times for r in taken.collect() if r.times})
-    per_shard = Counter(r.shard for r in dealt)
-    assert len(per_shard) == -(-int(1.5 * 30000) // 3000) and max(per_shard.values()) - min(per_shard.values()) <= 5
+    texts = [words(rng, 300) for _ in range(100)]
+    d = docs(spark, texts, ["a", "b", "c"])
+    sizes = mixing.sized(d)
+    taken = mixing.Taken(sizes, 50)
+    spans = mixing.deal(taken, shard_words=3000)
+    rows = spans.collect()
+    size = Counter()
+    for i, t in enumerate(texts):
+        size["abc"[i % 3]] += len(t.split())
+    times = Counter((r.uid, r.block) for r in rows)
+    assert set(times.values()) <= {1, 2} and sum(r.words for r in rows) <= 1.5 * sum(size.values()) + 3 * 50
+    assert [taken.quotas()[x["no"]] for x in taken.plan] == [sum(1 for r in rows if r.doc_id % 3 == x["no"]) for x in taken.plan]
+    per_shard = Counter(r.shard for r in rows)
+    assert len(per_shard) == -(-int(sum(x["target"] for x in taken.plan)) // 3000) and max(per_shard.values()) - min(per_shard.values()) <= 5
+    by = {r.doc_id: r.uid for r in sizes.collect()}
+    whole = spark.createDataFrame([(by[i], t) for i, t in enumerate(texts)], "uid long, text string")
+    for r in mixing.block_texts(whole, spans, 50).collect():
+        assert r.text == " ".join(texts[r.doc_id].split()[50 * r.block : 50 * r.block + 50])
+    order = [(r.shard, r.place) for r in mixing.laid_out(spans).collect()]
+    assert order == sorted(order)
+
+
+def test_mix_of_rows_without_ids(spark):
+    d = spark.createDataFrame([(None, "a b c", "s"), (None, "d e", None), (3, "f", "s"), (3, "f", "s"), (3, None, "t")], "doc_id long, text string, source string").repartition(2)
+    got = mixing.mixed(d).collect()
+    assert len(got) == 5 and sorted((r.doc_id or -1, r.size) for r in got) == [(-1, 2), (-1, 3), (3, 0), (3, 1), (3, 1)] and all(r.taken <= 2 * r.size for r in got)
+    assert {r.doc_id for r in mixing.mix_documents(d).collect()} <= {None, 3}
