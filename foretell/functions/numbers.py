@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_DECIMALS = 6
@@ -45,16 +45,5 @@ def confidence(values: Column) -> Column:
 
 
 def quantile(values: Column, q: float) -> Column:
-    """Exact quantile with linear interpolation at q * (n - 1); 0 without values."""
+    """Exact quantile with linear interpolation at q * (n - 1); 0 without values. Its state holds a group's distinct values."""
     return F.coalesce(F.percentile(values, q), F.lit(0.0))
-
-
-def anomaly_over(columns: list[Column | str], partition_by: list[Column | str] | None = None) -> Column:
-    """Root mean square of a row's z-scores over its window partition: sqrt(sum(z * z) / d)."""
-    w = Window.partitionBy(*(partition_by or []))
-    total = F.lit(0.0)
-    for c in columns:
-        v = (F.col(c) if isinstance(c, str) else c).cast("double")
-        z = (v - F.avg(v).over(w)) / or_one(F.stddev_pop(v).over(w))
-        total = total + z * z
-    return F.sqrt(total / len(columns))

@@ -45,8 +45,8 @@ class Model:
         return self.values[self.probabilities(x).argmax(1)] if self.classify else self.fitted.predict(x)
 
 
-def map_vectors(df: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, d: int) -> DataFrame:
-    """Columns computed from x, appended to row_id; ``f`` gets (rows, d) arrays, a batch at a time. Only row_id and x are read."""
+def map_vectors(df: DataFrame, f: Callable[..., dict[str, np.ndarray]], schema: str, d: int, with_y: bool = False) -> DataFrame:
+    """Columns computed from x (and y), appended to row_id; ``f`` gets (rows, d) arrays, a batch at a time. Only these are read."""
     sent = df.sparkSession.sparkContext.broadcast(f)
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -54,7 +54,7 @@ def map_vectors(df: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]],
         for b in batches:
             if b.num_rows:
                 x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, d)
-                found = sent.value(x)
+                found = sent.value(x, b.column(2).to_numpy(zero_copy_only=False)) if with_y else sent.value(x)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[n]) for n in names)], names=["row_id", *names])
 
-    return df.select("row_id", "x").mapInArrow(each, "row_id long, " + schema)
+    return df.select("row_id", "x", *["y"] * with_y).mapInArrow(each, "row_id long, " + schema)

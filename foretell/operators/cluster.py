@@ -2,7 +2,8 @@
 
 Rows are standardised and sorted by their values; seeds are drawn along that order by a fixed generator (the first evenly,
 the others by squared distance), then at most 100 rounds of assigning and averaging follow. Up to ``LOCAL_ROWS`` rows run
-in one task, to the last bit as defined; more run as aggregations over all executors, with the same draws.
+in one task, to the last bit as defined; more run as aggregations over all executors, with the same draws and steps, but for the
+order in which a sum's terms are added (a row that lies between two centres to the last digits may fall to the other one).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foretell.operators.predict import encoded
+from foretell.operators.windows import vector_of
 from foretell.plans.encode import EncodingError
 from foretell.plans.ordinal import with_row_id
 
@@ -108,7 +110,7 @@ def _distributed(rows: DataFrame, n: int, d: int, k: int) -> DataFrame:
     stats = rows.agg(*[F.avg(c).alias(f"m{j}") for j, c in enumerate(v)], *[F.stddev_pop(c).alias(f"s{j}") for j, c in enumerate(v)]).first()
     z = [((c - stats[f"m{j}"]) / (stats[f"s{j}"] or 1.0)).alias(f"z{j}") for j, c in enumerate(v)]
     names = [f"z{j}" for j in range(d)]
-    at = with_row_id(rows.select("row_id", *z), [*names, "row_id"], "place", n).withColumn("stretch", (F.col("place") / 100_000).cast("long")).persist()
+    at = with_row_id(rows.select("row_id", *z), [*names, "row_id"], "place").withColumn("stretch", (F.col("place") / 100_000).cast("long"))
     row = lambda i: [*at.filter(F.col("place") == i + 1).select(*names).first()]
     d2 = lambda c: sum(((F.col(x) - float(v)) * (F.col(x) - float(v)) for x, v in zip(names, c, strict=True)), F.lit(0.0))
     draw = draws()
@@ -142,19 +144,15 @@ def _distributed(rows: DataFrame, n: int, d: int, k: int) -> DataFrame:
 def cluster_over(df: DataFrame, vector: list[str] | str, partition_by: list[str], name: str = "cluster", k: int = OVER_K) -> DataFrame:
     """``df`` with the cluster of each row within its window partition, by numeric columns or one array column.
 
-    A partition is clustered as a whole, by one task; null or empty vectors or components, or unequal lengths, are errors.
+    A partition is clustered as a whole, by one task, as its definition asks; what is wrong with a vector is an error (windows.py).
     """
     schema = T.StructType([*df.schema.fields]).add(name, T.IntegerType())
+    rows = df.withColumn("__v", vector_of(vector))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if isinstance(vector, str):
-            if pdf[vector].isna().any() or len(sizes := {len(v) for v in pdf[vector]}) != 1 or 0 in sizes:
-                raise ValueError("vectors must be non-null, non-empty and of one length")
-            x = np.stack(pdf[vector].to_list()).astype(float)
-        else:
-            x = pdf[vector].to_numpy(float)
-        if np.isnan(x).any():
-            raise ValueError("vectors must not hold nulls")
-        return pdf.assign(**{name: labels_of(x, k).astype("int32")})
+        if len({len(v) for v in pdf["__v"]}) != 1:
+            raise ValueError("feature vectors of one partition need one length")
+        x = np.stack(pdf["__v"].to_list()).astype(float)
+        return pdf.drop(columns="__v").assign(**{name: labels_of(x, k).astype("int32")})
 
-    return df.groupBy(*partition_by).applyInPandas(one, schema)
+    return rows.groupBy(*partition_by).applyInPandas(one, schema)

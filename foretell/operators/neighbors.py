@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretell.models.kernel import standardiser
 from foretell.models.scoring import map_vectors
 from foretell.plans.encode import Encoded, EncodingError
+from foretell.sources.shared import parquet_batches, written
 
 
 def _mean_of_nearest(z: np.ndarray, support: np.ndarray, k: int, same: np.ndarray | None = None) -> np.ndarray:
@@ -57,28 +61,47 @@ def similar(support: DataFrame, queries: DataFrame, k: int, vector: str = "x", s
     """(query_id, rank, support_id, distance): the k nearest support rows of each query.
 
     Vectors are standardised by the support's mean and population deviation (1 where it is 0); distance is Euclidean; ties go
-    to the smaller id. All in built-in functions. The queries are the smaller side by contract; each task keeps the k best
-    of each query before anything is shuffled (the limit on row_number is pushed below the exchange).
+    to the smaller id. The queries are a stated set, written to the shared folder; each task goes through them in blocks and
+    leaves, for each query, the k nearest of its own support rows. Only these are shuffled. Vectors of other lengths than the
+    statistics, and null ones, are errors.
     """
     spark = support.sparkSession
+    schema = "query_id long, rank int, support_id long, distance double"
     if k <= 0:
-        return spark.createDataFrame([], "query_id long, rank int, support_id long, distance double")
-    s = support.select(F.col(support_id).alias("support_id"), F.col(vector).cast("array<double>").alias("s"))
+        return spark.createDataFrame([], schema)
+    s = support.select(F.col(support_id).cast("long").alias("support_id"), F.col(vector).cast("array<double>").alias("s"))
     # Statistics by position; every task sums its rows first, so one row a position and task is shuffled.
-    stats = s.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
-    one = stats.agg(F.array_sort(F.collect_list(F.struct("i", "m", F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")).alias("sd")))).alias("st"))
-    z = lambda v: F.zip_with(v, "st", lambda x, st: (x - st["m"]) / st["sd"])
-    s = s.crossJoin(F.broadcast(one)).select("support_id", z(F.col("s")).alias("s"))  # one row: the statistics
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("q")).crossJoin(F.broadcast(one)).select("query_id", z(F.col("q")).alias("q"))
-    d2 = F.aggregate(F.zip_with("q", "s", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    pairs = s.join(F.broadcast(q) if _small(queries) else q).select("query_id", "support_id", F.sqrt(d2).alias("distance"))
+    stats = s.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd")).orderBy("i").collect()
+    mean, sd = np.array([r["m"] for r in stats]), np.array([r["sd"] or 1.0 for r in stats])
+    asked = written(queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")), "queries")
+    folder, d = asked._written_at, len(mean)
+
+    def vectors(column: pa.Array) -> np.ndarray:
+        return (np.asarray(column.flatten(), float).reshape(len(column), d) - mean) / sd
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, z = b.column(0).to_numpy(), vectors(b.column(1))
+            for q in parquet_batches(folder, QUERY_BLOCK):
+                own, x = q.column(0).to_numpy(), vectors(q.column(1))
+                d2 = np.zeros((len(x), len(z)))
+                for j in range(d):  # component after component, so that sums run in a fixed order
+                    d2 += (x[:, j, None] - z[:, j]) ** 2
+                n = min(k, len(z))
+                limit = np.partition(d2, n - 1, axis=1)[:, n - 1 : n]
+                row, at = np.nonzero(d2 <= limit)  # the n nearest and all that tie with the last of them
+                order = np.lexsort((ids[at], d2[row, at], row))
+                row, at = row[order], at[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < n
+                row, at = row[first], at[first]
+                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[at]), pa.array(np.sqrt(d2[row, at]))], names=["query_id", "support_id", "distance"])
+
+    found = s.mapInArrow(near, "query_id long, support_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "support_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "support_id", "distance")
-
-
-#: Query rows up to which they are broadcast; more are paired by a partitioned nested loop.
-MAX_BROADCAST_QUERIES = 20_000
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "support_id", "distance")
 
 
-def _small(queries: DataFrame) -> bool:
-    return queries.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
+#: Queries that a task compares with a batch of its rows at a time.
+QUERY_BLOCK = 128

@@ -10,6 +10,7 @@ from foretell.functions.numbers import decimal_places, round_to
 from foretell.models.scoring import Model, map_vectors
 from foretell.operators.neighbors import Reference
 from foretell.plans.encode import Encoded, EncodingError, encode
+from foretell.sources.shared import written
 
 PREDICTION = "row_id long, prediction double, confidence double, task string"
 
@@ -84,15 +85,29 @@ def predict_trust(table, target: str | None = None, **options) -> DataFrame:
 
 
 def anomaly(table, target: str | None = None, model: Model | None = None, **options) -> DataFrame:
-    """(row_id, score, is_outlier) of each labeled row: 1 - P(its class), over 0.5; or the z-score of its residual, over 2."""
+    """(row_id, score, is_outlier) of each labeled row: 1 - P(its class), over 0.5; or the z-score of its residual, over 2. Rows are
+    scored where they are, whether the model was fitted on them or not."""
     e = encoded(table, target, **options)
     model = model or Model(e)
+    rows = e.df.filter("support")
     if model.classify:
-        p = model.probabilities(model.x)
-        score = 1.0 - p[np.arange(len(p)), np.searchsorted(model.values, model.y)]
-        limit = 0.5
-    else:
-        r = np.abs(model.y - model.predict(model.x))
-        score, limit = (r - r.mean()) / max(r.std(), 1e-9), 2.0
-    rows = [(int(i), float(s), bool(s > limit)) for i, s in zip(model.row_id, score, strict=True)]
-    return e.df.sparkSession.createDataFrame(rows, "row_id long, score double, is_outlier boolean")
+        out = map_vectors(rows, Miss(model), "score double", e.n_features, with_y=True)
+        return out.withColumn("is_outlier", F.col("score") > 0.5)
+    # Residuals are written once: their mean and deviation are one row, and the scores a projection.
+    held = written(map_vectors(rows, Miss(model), "residual double", e.n_features, with_y=True), "residuals")
+    st = held.agg(F.avg("residual").alias("m"), F.stddev_pop("residual").alias("s")).first()
+    score = (F.col("residual") - F.lit(st["m"])) / F.lit(max(st["s"], 1e-9))
+    return held.select("row_id", score.alias("score"), (score > 2.0).alias("is_outlier"))
+
+
+class Miss:
+    """How far a model is from known targets: 1 less the probability of the class, or the absolute residual."""
+
+    def __init__(self, model: Model):
+        self.fitted, self.values = model.fitted, model.values if model.classify else None
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> dict:
+        if self.values is None:
+            return {"residual": np.abs(y - self.fitted.predict(x))}
+        p = self.fitted.probabilities(x)
+        return {"score": 1.0 - p[np.arange(len(p)), np.searchsorted(self.values, y)]}

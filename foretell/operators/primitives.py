@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import json
-import platform
 
 import numpy as np
-import pyspark
 from pyspark.sql import DataFrame
 
 import foretell
 from foretell.models import gbm
 from foretell.models.kernel import Kernel, standardiser
+from foretell.models.tabular import Config
 from foretell.plans.encode import MAX_CLASSES, MAX_FEATURES
 from foretell.sources.tables import session
 
-CAPS = {"max_features": MAX_FEATURES, "max_classes": MAX_CLASSES, "dim": 512, "layers": 14, "heads": 8, "head_dim": 64}
+#: Limits of a model; the last four are those of a network, null without one.
+LIMITS = ("max_features", "max_classes", "dim", "n_layers", "n_heads", "n_landmarks")
 
 
 def _rows(flat, n_feat: int, what: str) -> np.ndarray:
@@ -85,11 +85,31 @@ def version() -> str:
     return foretell.__version__
 
 
+def _config() -> Config | None:
+    """The in-context network's configuration, where the session names its files."""
+    conf = session().conf
+    weights, config = (conf.get(f"spark.foretell.{k}", None) for k in ("model", "config"))
+    if not (weights and config):
+        return None
+    with open(config) as f:
+        return Config(**{k: v for k, v in json.load(f).items() if k in Config.__dataclass_fields__})
+
+
 def model_info() -> str:
-    """Which models answer, and their limits."""
-    return f"classifier: Gaussian kernel over standardised rows; regressor: boosted trees ({gbm.TREES} x depth {gbm.DEPTH}); caps: {json.dumps(CAPS)}; Spark {pyspark.__version__}, Python {platform.python_version()}"
+    """Which models answer in this session, and where they come from."""
+    c = _config()
+    if c is None:
+        classifier = f"Gaussian kernel over standardised rows, up to {MAX_FEATURES} features and {MAX_CLASSES} classes"
+    else:
+        classifier = f"in-context network of {session().conf.get('spark.foretell.model')}: " + ", ".join(f"{k} {getattr(c, k)}" for k in LIMITS)
+    return f"classifier: {classifier}; regressor: {gbm.TREES} boosted trees of depth {gbm.DEPTH}"
+
+
+def limits() -> tuple:
+    c = _config()
+    return (MAX_FEATURES, MAX_CLASSES, None, None, None, None) if c is None else tuple(getattr(c, k) for k in LIMITS)
 
 
 def caps() -> DataFrame:
-    """One row of limits."""
-    return session().createDataFrame([tuple(CAPS.values())], ", ".join(f"{k} int" for k in CAPS))
+    """One row: the limits of the model that classifies in this session."""
+    return session().createDataFrame([limits()], ", ".join(f"{k} int" for k in LIMITS))

@@ -1,7 +1,8 @@
 """Automatic encoding of a mixed-type table: which columns are features, and each row as a vector.
 
-Two aggregations read the table (one profiles the text columns, one finds vocabularies, modes and means); the encoding
-itself is one projection of built-in functions, so Catalyst prunes every column that is no feature.
+Two aggregations read the table (one profiles the text columns, one finds vocabularies, modes and means). The encoding itself
+is one projection of built-in functions, so Catalyst prunes every column that is no feature; its narrow rows are numbered and
+written once, and every later pass reads these.
 
 A row whose target is known is *support*; a row whose target is null is a *query*. Vocabularies, modes and means come
 from the support rows only (from all rows where there is no target). Nulls are imputed; no row is dropped.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foretell.plans.ordinal import with_row_id
-from foretell.sources.tables import resolve
+from foretell.sources.tables import key_of, resolve
 
 MAX_CLASSES, MAX_FEATURES = 10, 100
 #: Most levels of a categorical column; share of distinct values (from MIN_FOR_SHARE values on) from which text is no category.
@@ -27,7 +28,7 @@ MAX_LEVELS, MAX_DISTINCT_SHARE, MIN_FOR_SHARE = 50, 0.9, 5
 SURELY_MANY = 500
 #: Words that stand for true and false; fixed values.
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "t"), ("false", "no", "n", "f")
-#: Most support rows that are collected and sent to the executors.
+#: Most support rows that a model is fitted on, where ``sample_support`` says nothing else: those of the least hash of their key.
 MAX_SUPPORT = 50_000
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -36,9 +37,9 @@ class EncodingError(ValueError):
     """A table or target that cannot be encoded."""
 
 
-def word(c: Column) -> Column:
-    """Trimmed of all white space, lower case."""
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+def is_word(c: Column) -> Column:
+    """Whether a text is a word for true or false, white space around it aside. A long text fails at its first letters."""
+    return c.rlike(r"(?i)\A\s*(?:" + "|".join([*TRUE_WORDS, *FALSE_WORDS]) + r")\s*\z")
 
 
 def word_to_number(c: Column) -> Column:
@@ -79,7 +80,9 @@ class Encoded:
     """A table as (row_id, support, y, x) with what is known about it."""
 
     df: DataFrame
-    base: DataFrame
+    table: DataFrame
+    ids: DataFrame
+    keys: list[str]
     target: str | None
     features: list[str]
     kinds: list[str]
@@ -89,18 +92,33 @@ class Encoded:
     n: int
     n_support: int
     labels: list[str] | None = None
+    sample: int = MAX_SUPPORT
     _held: dict = field(default_factory=dict)
 
     @property
     def n_features(self) -> int:
         return len(self.features)
 
+    def base(self) -> DataFrame:
+        """The table's rows with their number in __row_id, joined by the key columns, which must tell the rows apart."""
+        names = [f"__k{i}" for i in range(len(self.keys))]
+        if not self.ids.groupBy(*names).count().filter("count > 1").isEmpty():
+            raise EncodingError(f"rows repeat in {', '.join(self.keys)}: give a key= that tells them apart")
+        same = F.lit(True)
+        for k, c in zip(names, self.keys, strict=True):
+            same = same & F.col(k).eqNullSafe(F.col(f"`{c}`"))
+        return self.table.join(self.ids.select(F.col("row_id").alias("__row_id"), *names), same).drop(*names)
+
     def support(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row_id, x, y) of the support rows in order of row_id, on the driver; their number is checked first."""
+        """(row_id, x, y) of the support rows that models are fitted on, in order of row_id, on the driver: all, or, beyond
+        ``sample`` of them, those of the least hash of their key."""
         if "support" not in self._held:
-            if self.n_support > MAX_SUPPORT:
-                raise EncodingError(f"{self.n_support} labeled rows; models here take {MAX_SUPPORT} at most (sample them, or use sample_support)")
-            rows = self.df.filter("support").orderBy("row_id").select("row_id", "x", "y").toArrow()
+            rows = self.ids.filter("support")
+            if self.n_support > self.sample:
+                cut = rows.select("hash").orderBy("hash").limit(self.sample).agg(F.max("hash")).first()[0]
+                rows = rows.filter(F.col("hash") <= cut)
+                warnings.warn(f"the model is fitted on {self.sample} of {self.n_support} labeled rows", stacklevel=2)
+            rows = rows.orderBy("row_id").select("row_id", "x", "y").toArrow()
             x = np.array(rows.column("x").combine_chunks().flatten() if rows.num_rows else [], float).reshape(rows.num_rows, self.n_features)
             self._held["support"] = rows.column("row_id").to_numpy(), x, np.array(rows.column("y").to_numpy(zero_copy_only=False), float)
         return self._held["support"]
@@ -131,7 +149,7 @@ def _target(c: str, t: T.DataType, df: DataFrame, notes: list[str]) -> tuple[Col
     if kind != "text":
         return number_of(F.col(f"`{c}`"), t), kind == "boolean" or isinstance(t, T.IntegralType), None
     v = F.col(f"`{c}`")
-    seen = df.filter(v.isNotNull()).agg(F.bool_and(word(v).isin(*TRUE_WORDS, *FALSE_WORDS)).alias("words"), F.bool_and(text_to_number(v).isNotNull()).alias("numbers"), F.count("*").alias("n")).first()
+    seen = df.filter(v.isNotNull()).agg(F.bool_and(is_word(v)).alias("words"), F.bool_and(text_to_number(v).isNotNull()).alias("numbers"), F.count("*").alias("n")).first()
     if seen["words"]:
         notes.append(f'target "{c}": text -> boolean')
         return word_to_number(v), True, None
@@ -149,11 +167,13 @@ def _target(c: str, t: T.DataType, df: DataFrame, notes: list[str]) -> tuple[Col
 def encode(table: DataFrame | str, target: str | None = None, key: str | list[str] = (), order_by: str | list[str] = (), sample_support: int | None = None) -> Encoded:
     """Encode a table. ``key`` columns are no features; ``row_id`` numbers the rows in order of ``order_by`` (default: key).
 
-    ``sample_support``: use only this many support rows, those of the least keyed hash of their key columns (the others are
-    neither support nor query). The default is all.
+    ``sample_support``: fit models on no more than so many support rows, those of the least hash of their key columns
+    (``MAX_SUPPORT`` if it is not given); all rows are encoded, scored and counted all the same.
     """
     df = resolve(table)
     key = [key] if isinstance(key, str) else list(key)
+    if not key and isinstance(table, str):
+        key = key_of(table)
     order = [order_by] if isinstance(order_by, str) else list(order_by) or key
     if not order:
         raise EncodingError("rows need an order: give key= or order_by=")
@@ -168,7 +188,7 @@ def encode(table: DataFrame | str, target: str | None = None, key: str | list[st
     aggs = [F.count("*").alias("n")]
     aggs.append((F.count(col(target)) if target else F.count("*")).alias("n_support"))
     for i, c in enumerate(texts):
-        aggs += [F.count(col(c)).alias(f"c{i}"), F.approx_count_distinct(col(c)).alias(f"d{i}"), F.bool_and(word(col(c)).isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"b{i}")]
+        aggs += [F.count(col(c)).alias(f"c{i}"), F.approx_count_distinct(col(c)).alias(f"d{i}"), F.bool_and(is_word(col(c))).alias(f"b{i}")]
     first = df.agg(*aggs).first()
     support = col(target).isNotNull() if target else F.lit(True)
     # Pass 2: exact levels of the columns that may be categories; means, modes and numbers of nulls.
@@ -193,7 +213,7 @@ def encode(table: DataFrame | str, target: str | None = None, key: str | list[st
             else:
                 known = len(second[f"all{maybe.index(c)}"]) if c in maybe else None
                 if known is None or known > MAX_LEVELS or (first[f"c{i}"] >= MIN_FOR_SHARE and known / first[f"c{i}"] > MAX_DISTINCT_SHARE):
-                    notes.append(f"{c}: {known if known is not None else f'about {first[f'd{i}']}'} distinct text values (high-cardinality) dropped")
+                    notes.append(f"{c}: {known if known is not None else f'over {SURELY_MANY}'} distinct text values, dropped")
                     continue
                 notes.append(f"{c}: text -> categorical ({known} levels)")
                 j = maybe.index(c)
@@ -217,12 +237,8 @@ def encode(table: DataFrame | str, target: str | None = None, key: str | list[st
     if not features:
         raise EncodingError("no usable feature columns: numeric, boolean, date and low-cardinality text columns qualify")
     y, is_int, labels = _target(target, types[target], df, notes) if target else (F.lit(None).cast("double"), False, None)
-    base = with_row_id(df, order, "__row_id", first["n"])
-    out = base.select(F.col("__row_id").alias("row_id"), support.alias("support") if target else F.lit(True).alias("support"), y.alias("y"), F.array(*values).alias("x"))
-    n_support = first["n_support"]
-    if sample_support is not None and n_support > sample_support:
-        cut = out.filter("support").select(F.xxhash64("row_id").alias("h")).orderBy("h").limit(sample_support).agg(F.max("h")).first()[0]
-        out = out.filter(~F.col("support") | (F.xxhash64("row_id") <= cut))
-        warnings.warn(f"{sample_support} of {n_support} labeled rows are used", stacklevel=2)
-        n_support = sample_support
-    return Encoded(out, base, target, features, kinds, levels, notes, is_int, first["n"], n_support, labels)
+    columns = key or order
+    narrow = df.select(*[col(c).alias(f"__o{i}") for i, c in enumerate(order)], *[col(c).alias(f"__k{i}") for i, c in enumerate(columns)], F.xxhash64(*[col(c) for c in columns]).alias("hash"),
+                       support.alias("support") if target else F.lit(True).alias("support"), y.alias("y"), F.array(*values).alias("x"))
+    ids = with_row_id(narrow, [f"__o{i}" for i in range(len(order))]).drop(*[f"__o{i}" for i in range(len(order))])
+    return Encoded(ids.select("row_id", "support", "y", "x"), df, ids.select("row_id", "support", "y", "x", "hash", *[f"__k{i}" for i in range(len(columns))]), columns, target, features, kinds, levels, notes, is_int, first["n"], first["n_support"], labels, sample_support or MAX_SUPPORT)

@@ -1,43 +1,29 @@
 """Row numbers without a single-partition window.
 
-The rows are sorted by ranges, and each partition's numbers start after the sum of the counts before it. The sorted rows
-are checkpointed first, because range bounds are sampled and could differ if the plan ran twice. Only one count a
-partition reaches the driver. Without a checkpoint folder (small interactive sessions) a plain window numbers the rows.
+The rows are sorted by ranges and written to the shared folder with their partition and their place in it; a partition's
+numbers start after the sum of the counts before it. Only one count a partition reaches the driver. What is numbered is
+written, so callers pass narrow rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a window over one partition is as good as a ranged sort.
-SMALL = 200_000
-
-
-def _order(columns: list[str]) -> list:
-    return [F.col(c).asc_nulls_last() for c in columns]
-
-
-def has_checkpoint_dir(df: DataFrame) -> bool:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir():
-        return True
-    found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if found:
-        sc.setCheckpointDir(found)
-    return bool(found)
-
-
-def with_row_id(df: DataFrame, order_by: list[str], name: str = "row_id", rows: int | None = None) -> DataFrame:
-    """``df`` with ``name`` = 1, 2, ... in the order of ``order_by`` (nulls last); ties fall as they come."""
-    if (rows is not None and rows <= SMALL) or not has_checkpoint_dir(df):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*_order(order_by))).cast("long"))
-    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    held = df.repartitionByRange(n, *_order(order_by)).sortWithinPartitions(*_order(order_by)).checkpoint()
-    counts = held.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    start, at = {}, 0
-    for r in sorted(counts, key=lambda r: r["p"]):
-        start[r["p"]], at = at, at + r["count"]
-    first = F.element_at(F.create_map(*[F.lit(v) for p in start.items() for v in p]), F.spark_partition_id()) if start else F.lit(0)
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return held.withColumn(name, (first + within + 1).cast("long"))
+from foretell.sources.shared import written
+
+
+def with_row_id(df: DataFrame, order_by: list[str], name: str = "row_id") -> DataFrame:
+    """``df``, written, with ``name`` = 1, 2, ... in the order of ``order_by`` (nulls last). Ties are settled by a hash of the whole row,
+    so that only rows that are equal in every column are interchangeable."""
+    tie = F.xxhash64(*df.columns)
+    order = [*[F.col(f"`{c}`").asc_nulls_last() for c in order_by], tie]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    held = written(ranged.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = {r["__part"]: r["count"] for r in held.groupBy("__part").count().collect()}
+    start, at = {}, 1
+    for p in sorted(counts):
+        start[p], at = at, at + counts[p]
+    first = F.element_at(F.create_map(*[F.lit(v) for p in start.items() for v in p]), F.col("__part")) if start else F.lit(0)
+    return held.withColumn(name, (first + F.col("__place")).cast("long")).drop("__part", "__place")

@@ -1,7 +1,7 @@
-"""Relational queries around the predictive operators: joins, grouping, sets, windows, arrays and JSON, in the DataFrame API.
+"""Relational queries around the predictive operators: joins, grouping, sets, windows, arrays, maps and JSON, in the DataFrame API.
 
 Filters and projections come first, so that scans read few columns and rows; no side is broadcast by hand, as Spark does so
-by size, and skewed joins are split at run time (adaptive execution).
+by size, and skewed joins are split at run time (adaptive execution). Range and as-of joins are those of joins.py.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foretell.plans.joins import as_of, range_join
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -115,3 +117,55 @@ def rel_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     (e,) = _t(spark, sf_dir, "events")
     hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm")
     return e.groupBy("event_type", hour.alias("hour")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, CAST(grouping_id(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def rel_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (o,) = _t(spark, sf_dir, "orders")
+    return o.cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.grouping_id().alias("level"))
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
+def rel_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (li,) = _t(spark, sf_dir, "lineitem")
+    sets = [[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_linenumber")], []]
+    return li.groupingSets(sets, "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, count(*) AS near FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_acctbal BETWEEN s_acctbal - 500 AND s_acctbal + 500 GROUP BY s_suppkey")
+def rel_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a supplier's nation whose balance is within 500 of its own."""
+    s, c = _t(spark, sf_dir, "supplier", "customer")
+    ranges = s.select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") - 500).alias("low"), (F.col("s_acctbal") + 500).alias("high"))
+    points = c.select(F.col("c_nationkey").alias("nation"), "c_acctbal")
+    return range_join(points, ranges, "c_acctbal", "low", "high", 1000.0, ["nation"]).groupBy("s_suppkey").agg(F.count("*").alias("near"))
+
+
+@query(
+    """SELECT p.event_id, p.user_id, c.event_id AS click_id, c.value AS click_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts"""
+)
+def rel_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with its user's latest click before it."""
+    (e,) = _t(spark, sf_dir, "events")
+    purchases = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    clicks = e.filter("event_type = 'click'").select("user_id", F.col("ts").alias("clicked"), F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
+    return as_of(purchases, clicks, "ts", "clicked", ["user_id"]).select("event_id", "user_id", "click_id", "click_value")
+
+
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, max(json_extract_string(props, '$.missing')) AS missing FROM events GROUP BY 1, 2")
+def rel_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (e,) = _t(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long") % 10
+    return e.groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"), F.max(F.get_json_object("props", "$.missing")).alias("missing"))
+
+
+@query("SELECT event_type, string_agg(k || '=' || n, ',' ORDER BY k) AS counts, count(*) AS keys FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY event_type")
+def rel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by key as a map, and its entries in order."""
+    (e,) = _t(spark, sf_dir, "events")
+    k = F.map_values(F.from_json("props", "map<string, bigint>"))[0]
+    counted = e.groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
+    maps = counted.groupBy("event_type").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
+    entries = F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat_ws("=", x["key"].cast("string"), x["value"].cast("string")))
+    return maps.select("event_type", F.array_join(entries, ",").alias("counts"), F.size("m").cast("long").alias("keys"))

@@ -27,6 +27,29 @@ def resolve(table: DataFrame | str) -> DataFrame:
     return spark.table(table)
 
 
+#: Table property that names a table's key columns, separated by commas.
+KEY_PROPERTY = "foretell.key"
+
+
+def key_of(table: str) -> list[str]:
+    """The key columns that a saved table's properties name; none for paths, views and tables without the property."""
+    spark = session()
+    if "/" in table or not spark.catalog.tableExists(table) or spark.catalog.getTable(table).tableType in ("VIEW", "TEMPORARY"):
+        return []
+    found = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    return [c.strip() for c in found.get(KEY_PROPERTY, "").split(",") if c.strip()]
+
+
+def columns_of(table: DataFrame | str) -> DataFrame:
+    """(name, type, kind, is_key, place): a table's columns as the catalog knows them; kind is what encoding makes of the type."""
+    from foretell.plans.encode import kind_of
+
+    df = resolve(table)
+    keys = key_of(table) if isinstance(table, str) else []
+    rows = [(f.name, f.dataType.simpleString(), kind_of(f.dataType), f.name in keys, i) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "name string, type string, kind string, is_key boolean, place int")
+
+
 def save(df: DataFrame, target: str, kind: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     """Write to a path, or as a catalog table where ``target`` has no slash."""
     writer = df.write.mode(mode).format(kind)

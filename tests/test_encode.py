@@ -13,12 +13,12 @@ def rows(e):
 
 
 def test_messy_table(spark):
-    e = encode(frame(spark, MESSY, "cat string, flag boolean, num double, target int"), "target", key="id")
-    assert e.features == ["cat", "flag", "num"] and e.kinds == ["categorical", "boolean", "numeric"]
-    assert e.levels["cat"] == ["blue", "green", "red"]
+    e = encode(frame(spark, MESSY, "wind string, rain boolean, base double, day int"), "day", key="id")
+    assert e.features == ["wind", "rain", "base"] and e.kinds == ["categorical", "boolean", "numeric"]
+    assert e.levels["wind"] == ["east", "north", "west"]
     got = rows(e)
     assert got[12][2][0] == 3.0  # an unseen level
-    assert got[1][2][2] == 5.0 and got[4][2][1] == 0.75
+    assert got[4][2][2] == 3.0 and got[3][2][1] == 0.75  # means of the known rows
     assert any("imputed 1 missing" in n for n in e.notes)
 
 
@@ -82,8 +82,38 @@ def test_errors(spark):
         detect_task(frame(spark, [(1.0, None)], "x double, y int"), "y", key="id")
 
 
-def test_row_ids_by_ranges(spark, monkeypatch):
+def test_row_ids_by_ranges(spark):
     from foretell.plans import ordinal
 
     t = spark.range(5000).selectExpr("(id * 7919) % 5000 as k", "id")
-    assert [r.row_id for r in ordinal.with_row_id(t, ["k"], rows=10**9).orderBy("k").select("row_id").collect()] == list(range(1, 5001))
+    assert [r.row_id for r in ordinal.with_row_id(t, ["k"]).orderBy("k").select("row_id").collect()] == list(range(1, 5001))
+    tied = spark.range(3000).selectExpr("id % 3 as k", "id * 17 % 3000 as v")
+    one, two = ({(r.k, r.v): r.row_id for r in ordinal.with_row_id(tied.repartition(n, *c), ["k"]).collect()} for n, c in ((3, ["v"]), (7, ["k", "v"])))
+    assert one == two and sorted(one.values()) == list(range(1, 3001))
+    assert ordinal.with_row_id(t.limit(0), ["k"]).count() == 0
+
+
+def test_wide_columns_are_not_read_again_after_profiling(spark, tmp_path):
+    """Numbers are given to narrow rows: once the text columns are profiled, no plan reads a text that is no feature."""
+    path = str(tmp_path / "t")
+    spark.range(2000).selectExpr("id", "repeat(cast(id as string), 50) as text", "id % 7 as f", "if(id % 3 = 0, null, id % 2) as y").write.parquet(path)
+    e = encode(spark.read.parquet(path), "y", key="id")
+    plan = e.df._jdf.queryExecution().optimizedPlan().toString()
+    assert e.features == ["f"] and "text" not in plan and "Window" not in plan
+    assert len(e.base().columns) == 5 and e.base().count() == 2000
+    with pytest.raises(EncodingError, match="tells them apart"):
+        encode(spark.read.parquet(path), "y", order_by="f").base()
+
+
+def test_keys_from_the_catalog(spark):
+    from foretell.sources.tables import columns_of
+
+    frame(spark, MESSY, "wind string, rain boolean, base double, day int").write.mode("overwrite").saveAsTable("keyed")
+    try:
+        with pytest.raises(EncodingError, match="order"):
+            encode("keyed", "day")
+        spark.sql("ALTER TABLE keyed SET TBLPROPERTIES ('foretell.key' = 'id')")
+        assert encode("keyed", "day").features == ["wind", "rain", "base"]
+        assert [(r.name, r.kind) for r in columns_of("keyed").filter("not is_key").orderBy("place").collect()] == [("wind", "text"), ("rain", "boolean"), ("base", "numeric"), ("day", "numeric")]
+    finally:
+        spark.sql("DROP TABLE keyed")

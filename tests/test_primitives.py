@@ -2,7 +2,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
-from tables import flowers
+from tables import BOTTLES, bottles
 
 from foretell.functions import numbers
 from foretell.operators import primitives as p
@@ -10,13 +10,14 @@ from foretell.operators.neighbors import similar
 from foretell.operators.predict import automl
 from foretell.sql import register
 
-SUPPORT, LABELS = [5.1, 3.5, 1.4, 4.9, 3.0, 1.4, 7.0, 3.2, 4.7, 6.4, 3.2, 4.5, 6.3, 3.3, 6.0, 5.8, 2.7, 5.1], [0, 0, 1, 1, 2, 2]
+SUPPORT, LABELS = [v for r in BOTTLES[:6] for v in r[:3]], [r[3] for r in BOTTLES[:6]]
+ASKED = [*BOTTLES[12][:3]]
 
 
 def test_classify_and_gate():
-    out = p.classify([5.0, 3.4, 1.5, 6.5, 3.0, 4.6], SUPPORT, LABELS, 3, 3)
+    out = p.classify([*ASKED, *BOTTLES[13][:3]], SUPPORT, LABELS, 3, 3)
     assert len(out) == 6 and abs(sum(out[:3]) - 1) < 1e-9 and out.index(max(out[:3])) == 0
-    assert p.classify_gated([5.0, 3.4, 1.5], SUPPORT, LABELS, 3, 3, 0.99) is None and p.classify_gated([5.0, 3.4, 1.5], SUPPORT, LABELS, 3, 3, 0.3) == 0
+    assert p.classify_gated(ASKED, SUPPORT, LABELS, 3, 3, 0.99) is None and p.classify_gated(ASKED, SUPPORT, LABELS, 3, 3, 0.3) == 0
     assert p.classify(None, SUPPORT, LABELS, 3, 3) is None
     for bad in (([1.0], SUPPORT, LABELS, 3, 3), ([], SUPPORT, LABELS, 3, 3), ([1.0] * 3, SUPPORT, LABELS[:2], 3, 3), ([1.0] * 3, SUPPORT, LABELS, 0, 3), ([1.0] * 3, SUPPORT, LABELS, 3, 0)):
         with pytest.raises(ValueError):
@@ -34,12 +35,12 @@ def test_64_dimensions():
 
 
 def test_table_path_agrees_with_arrays(spark):
-    t = flowers(spark)
+    t = bottles(spark)
     rows = sorted(t.collect())
-    s = [v for r in rows if r.species is not None for v in r[1:4]]
-    y = [r.species for r in rows if r.species is not None]
-    got = {r.row_id: r for r in automl(t, "species", key="id").collect()}
-    for r in rows[9:]:
+    s = [v for r in rows if r.sort is not None for v in r[1:4]]
+    y = [r.sort for r in rows if r.sort is not None]
+    got = {r.row_id: r for r in automl(t, "sort", key="id").collect()}
+    for r in rows[12:]:
         probs = p.classify(list(r[1:4]), s, y, 3, 3)
         assert got[r.id].prediction == probs.index(max(probs)) and abs(got[r.id].confidence - max(probs)) < 1e-9
 
@@ -51,13 +52,16 @@ def test_regress():
 
 
 def test_similar(spark):
-    assert p.similar_rows([5.0, 3.4, 1.5], SUPPORT, 3, 1)[0][0] == 0 and p.similar_rows([5.0, 3.4, 1.5], SUPPORT, 3, 0) == []
+    assert p.similar_rows(SUPPORT[6:9], SUPPORT, 3, 1) == [(2, 0.0)] and p.similar_rows(ASKED, SUPPORT, 3, 0) == []
     t = spark.createDataFrame([(i, SUPPORT[3 * i : 3 * i + 3]) for i in range(6)], "id long, x array<double>")
-    q = spark.createDataFrame([(0, [5.0, 3.4, 1.5])], "id long, x array<double>")
-    want = p.similar_rows([5.0, 3.4, 1.5], SUPPORT, 3, 4)
+    q = spark.createDataFrame([(0, ASKED)], "id long, x array<double>")
+    want = p.similar_rows(ASKED, SUPPORT, 3, 4)
     got = [(r.support_id, r.distance) for r in similar(t, q, 4).orderBy("rank").collect()]
     assert [g[0] for g in got] == [w[0] for w in want] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, want, strict=True))
     assert similar(t, q, 0).count() == 0
+    ties = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(40)], "id long, x array<double>").repartition(4)
+    got = [r.support_id for r in similar(ties, spark.createDataFrame([(0, [0.0, 1.0])], "id long, x array<double>"), 16).orderBy("rank").collect()]
+    assert got == [*range(0, 40, 3), 1, 4]
 
 
 def test_argmax_confidence_and_sql(spark):
