@@ -1,4 +1,4 @@
-"""Arrow helpers, file systems and joins on hot keys that the operators of this folder have in common."""
+"""Arrow helpers and ways back to a table's partitions that the operators of this folder have in common."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretell.sources.shared import kept, kept_path, new_path, remove, scope, shared_dir, written  # noqa: F401
+from foretell.plans.joins import spread_join  # noqa: F401
+from foretell.sources.shared import filesystem, kept, kept_path, new_path, parquet_batches, remove, scope, shared_dir, written  # noqa: F401
 
 
 def n_tasks(df: DataFrame, size: int) -> int:
@@ -27,17 +28,20 @@ def scan_only(df: DataFrame) -> bool:
     return all(x.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for x in lines)
 
 
-def filesystem(uri: str):
-    """(file system, path) of a URI, for Python workers; any store that pyarrow knows (file, hdfs, s3, gs)."""
-    from pyarrow import fs
+#: Rows of texts that go to a Python worker at a time, unless the session says fewer; a bound on memory only.
+BATCH_ROWS = 2_000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are many kilobytes: ten thousand at a time, Spark's default, would fill an executor's memory."""
+    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
 
 
 def map_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from batch to batch."""
+    small_batches(df.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,29 +64,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows of one key that a task of a join is meant to take; a key with more is dealt to several.
-KEY_ROWS = 100_000
-#: Hot keys up to which the table of them is broadcast; there are fewer than rows / KEY_ROWS.
-MOST_HOT = 100_000
-
-
-def spread_join(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
-    """``many`` joined to ``one``, whose keys are unique; ``counts`` (the keys and n) says how many rows of ``many`` a key has.
-
-    A key with more than ``KEY_ROWS`` rows is hot: its row of ``one`` is copied to so many tasks as its rows fill, and its rows
-    are dealt among them by a hash of their other columns.
-    """
-    hot = counts.filter(F.col("n") > KEY_ROWS).select(*on, F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("salts_"))
-    if hot.isEmpty():
-        return many.join(one, on, how)
-    hot = written(hot, "hot-keys")
-    hot = F.broadcast(hot) if hot.count() <= MOST_HOT else hot
-    rest = [c for c in many.columns if c not in on]
-    dealt = many.join(hot, on, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("salts_")).cast("int"), F.lit(0))).drop("salts_")
-    copies = one.join(hot, on, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("salts_", F.lit(1)) - 1))).drop("salts_")
-    return dealt.join(copies, [*on, "salt_"], how).drop("salt_")
-
-
 def by_part(df: DataFrame, name: str, parts: int, outlive: bool = False) -> str:
     """Write rows so that those of one partition (column part) of another table are in a folder of their own, by ``row``; the path."""
     path = (kept_path if outlive else new_path)(df.sparkSession, name)
@@ -103,20 +84,10 @@ def read_part(path: str, part: int, columns: list[str]) -> pa.Table | None:
     return pa.concat_tables([pq.read_table(store.open_input_file(x), columns=columns) for x in files]).sort_by("row") if files else None
 
 
-def parquet_batches(path: str, rows: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a written table, file after file, in batches: for workers that go through all of a table in the shared folder."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, root = filesystem(path)
-    for name in sorted(x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet")):
-        with store.open_input_file(name) as f:
-            yield from pq.ParquetFile(f).iter_batches(rows)
-
-
 def _listed(df: DataFrame, uids: DataFrame, uid: str, outlive: bool, pick, schema) -> DataFrame:
     """``pick(batch, marks)`` of each batch, marks telling which rows have one of these ``monotonically_increasing_id``s. The ids go
     back to the partitions of ``df`` (a plan that is :func:`scan_only`), so no row of ``df`` is shuffled."""
+    small_batches(df.sparkSession)
     at = uids.select(F.shiftright(uid, 33).cast("int").alias("part"), F.col(uid).bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
     path = by_part(at, "rows", df.rdd.getNumPartitions(), outlive)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import by_part, free_name, kept, n_words, read_part, scan_only, scope, written
+from ._common import by_part, free_name, kept, n_words, read_part, scan_only, scope, small_batches, written
 
 WEIGHTS, BUDGET, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK_WORDS = 256
@@ -340,6 +340,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     What is taken of each partition of ``docs`` goes back to it as (row, shard, place), so a text moves once, to its shard.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs if scan_only(docs) else kept(docs, "to-mix")
     with scope(spark):
         sizes = sized(docs.select("doc_id", "source", "text"))

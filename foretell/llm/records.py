@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import filesystem, n_tasks, new_path, partition_offsets
+from ._common import filesystem, n_tasks, new_path, partition_offsets, small_batches
 
 END_ID = 2
 MASK = 0xA282EAD8
@@ -152,6 +152,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, file
     The tokenizer's file is read on the driver and sent to the tasks. ``files`` is set by the size of the input if not given.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or new_path(spark, "records")
     files = files or n_tasks(docs, FILE_BYTES)
     sent = spark.sparkContext.broadcast(file_text(spark, tokenizer))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_part, filesystem, new_path, read_part, remove, scan_only, scope, spread_join, written
+from ._common import by_part, filesystem, new_path, read_part, remove, scan_only, scope, small_batches, spread_join, written
 
 LENGTH, REACH, GRAM = 200, 128, 16
 CONTEXT = LENGTH - REACH + 1
@@ -515,6 +515,7 @@ def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     read from files; anything else is written first.
     """
     d = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    small_batches(docs.sparkSession)
     if not scan_only(d):
         d = written(d, "documents")
     with scope(docs.sparkSession):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_part, filesystem, map_rows, new_path, read_part, scan_only, scope, spread_join, written
+from ._common import by_part, filesystem, map_rows, new_path, read_part, scan_only, scope, small_batches, spread_join, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -107,6 +107,7 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
     payload is shuffled. ``pages`` is read twice, in the same partitions; a table that isn't read from files is written first.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     path = path or new_path(spark, "warc")
     with scope(spark):
         pages = pages if scan_only(pages) else written(pages.select("page_id", "url", "html"), "pages")
