@@ -34,6 +34,30 @@ def test_archive(spark):
     assert warc.archived_pages(df.limit(0)).count() == 0
 
 
+def test_archive_of_long_and_hot_payloads(spark, monkeypatch):
+    from foretell.plans import joins
+
+    monkeypatch.setattr(joins, "KEY_ROWS", 5)  # a digest with more records is dealt to several tasks
+    long = "<p>" + "x\u00e9 " * 700_000
+    pages = [(i, f"u{i}", "same" if i % 3 else f"own {i}") for i in range(60)] + [(100, "l", long), (101, "m", long)]
+    got = {r.page_id: r for r in warc.archived_pages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    assert len(got) == 62
+    for i, _, html in pages:
+        last = max(j for j, _, h in pages if h == html)
+        assert tuple(got[i])[1:] == (len(html.encode()), warc.base32_sha1(html.encode()), "response" if i == last else "revisit", None if i == last else last)
+
+
+def test_hot_keys_change_no_result(spark, monkeypatch):
+    """The same groups and repeats when every key with a few rows is dealt to several tasks."""
+    from foretell.plans import joins
+
+    texts = sample(20) + ["same words over and over again"] * 30 + [f"nearly the same long text about nothing at all number {i}" for i in range(30)]
+    d = docs(spark, [t for t in texts if len(t or "") < 6000])
+    plain = sorted(simhash.near_duplicates(d).collect()), sorted(tuple(r) for r in substrings.without_repeats(d, texts=False).collect())
+    monkeypatch.setattr(joins, "KEY_ROWS", 3)
+    assert (sorted(simhash.near_duplicates(d).collect()), sorted(tuple(r) for r in substrings.without_repeats(d, texts=False).collect())) == plain
+
+
 def test_archive_notices_damage(spark):
     path = warc.write_archive(spark.createDataFrame([(1, "u", "abcdef")], "page_id long, url string, html string"))
     import glob

@@ -42,6 +42,34 @@ def test_quality_counts(spark):
         assert not (r.kept and r.base_failed)
 
 
+def brute_kept(text):
+    """The bands again, without the operator's own functions."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    raw = (text or "").encode()
+
+    def good(part):
+        least, most = next((a, b) for n, a, b in quality.BANDS if len(part) < n)
+        return least <= len(part) / len(z.compress(part)) <= most
+
+    if brute_quality(text)[-1] or not raw or not good(raw):
+        return False
+    chunks = [raw[i : i + 4096] if i + 4096 <= len(raw) else raw[-4096:] for i in range(0, len(raw), 4096)] if len(raw) > 4096 else []
+    return 5 * sum(not good(c) for c in chunks) <= len(chunks)
+
+
+def test_verdicts_against_plain_python(spark):
+    rng = random.Random(9)
+    some = [words(rng, n) for n in (5, 12, 40, 100, 300, 700, 1500, 2500)]
+    texts = some + [" ".join(rng.choices(words(rng, k).split(), k=n)) for k in (3, 10, 40) for n in (20, 200, 900, 2500)]
+    texts += [some[-1] + " " + "".join(rng.choices(string.printable[:94], k=n)) for n in (100, 2000, 5000, 12_000)] + [some[-1] + " ab" * n for n in (50, 3000)] + [None, "", "x" * 5000, "\u00e9 " * 3000]
+    rows = [(i % 5 or None, t) for i, t in enumerate(texts)] + [(7, some[3])] * 3  # unknown and repeated ids: each row stands alone
+    got = sorted(tuple(r) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).fillna(-1, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect())
+    assert got == sorted((d or -1, *brute_quality(t), brute_kept(t)) for d, t in rows)
+    assert {r[-1] for r in got} == {True, False}
+
+
 def test_quality_windows_both_ways(monkeypatch):
     rng = random.Random(3)
     lists = [[rng.choice("abc") for _ in range(rng.randint(0, 200))] for _ in range(60)]
@@ -115,6 +143,18 @@ def test_records_ties_nulls_and_empty(spark):
     assert records.read_records(spark, *records.write_records(d.limit(0), path)).count() == 0
 
 
+def test_records_of_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = ["word " * 300_000, "a" * 60_000, "\u65e5\u672c" * 5_000]
+    got = records.read_records(spark, *records.write_records(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, files=2)).orderBy("doc_id").collect()
+    t = Tokenizer.from_file(path)
+    for r, text in zip(got, texts, strict=True):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_records_notice_damage(tmp_path):
     import io
 
