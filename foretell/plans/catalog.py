@@ -20,7 +20,9 @@ from foretell.operators import conformal, explain, neighbors, predict, primitive
 from foretell.plans import relational
 from foretell.plans import statements as st
 from foretell.plans.encode import encode
-from foretell.sources.tables import columns_of
+from foretell.sources.shared import new_path
+from foretell.sources.tables import columns_of, resolve, save
+from foretell.streaming.scoring import score_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -331,6 +333,35 @@ def create_and_refresh_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.table("ft_suppliers_ml"), "anomaly_score", "confidence", "trust")
 
 
+# Streams and formats
+
+
+@query(st.chain(*PREDICTED, st.trust(3)) + " SELECT doc_id, prediction, round(confidence, 6) AS confidence, round(trust, 6) AS trust, ood FROM base JOIN best USING (row_id) JOIN trust USING (row_id)")
+def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label as a stream, scored against those with one, and read back from the stream's sink."""
+    known = documents(spark, sf_dir).filter("quality is not null")
+    table = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(known.select("doc_id"), "doc_id", "left_anti")
+    arriving, sink = new_path(spark, "arriving"), new_path(spark, "stream")
+    table.write.parquet(arriving)
+    stream = spark.readStream.schema(table.schema).parquet(arriving)
+    scores = score_stream(stream, known.select("doc_id", "lang", "source", "n_chars", "quality"), "quality", ["doc_id"])
+    q = scores.writeStream.format("parquet").option("checkpointLocation", f"{sink}/progress").trigger(availableNow=True).start(f"{sink}/rows")
+    q.awaitTermination()
+    return _rounded(spark.read.parquet(f"{sink}/rows"), "confidence", "trust")
+
+
+@query("SELECT format, count(*) AS n, round(sum(s_acctbal), 2) AS balance, min(s_name) AS first FROM supplier, (VALUES ('parquet'), ('orc'), ('json'), ('csv')) f(format) GROUP BY format")
+def formats_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written in each format and read by the path's suffix."""
+    out, folder = None, new_path(spark, "formats")
+    for kind in ("parquet", "orc", "json", "csv"):
+        s = _read(spark, sf_dir, "supplier")
+        save(s, f"{folder}/s.{kind}", kind)
+        back = resolve(f"{folder}/s.{kind}").select(F.lit(kind).alias("format"), "s_name", "s_acctbal")
+        out = back if out is None else out.unionByName(back)
+    return out.groupBy("format").agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("balance"), F.min("s_name").alias("first"))
+
+
 # Neighbours, clusters, windows
 
 

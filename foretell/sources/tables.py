@@ -53,6 +53,7 @@ def columns_of(table: DataFrame | str) -> DataFrame:
 def save(df: DataFrame, target: str, kind: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     """Write to a path, or as a catalog table where ``target`` has no slash."""
     writer = df.write.mode(mode).format(kind)
+    writer = writer.option("header", True) if kind == "csv" else writer
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(target) if "/" in target else writer.saveAsTable(target)
