@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import xxh64_sql
 from ._common import kept, scope
 
 
@@ -103,6 +104,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 WORD = r"[^\x20\x09-\x0D]+"
 
 SQL = {
+    "op5_simhash_pigeonring": xxh64_sql.near_duplicates(WORD, 3, 42, 3),
     "op4_reply_trees": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
