@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from foretell.models import gbm
 from foretell.models.kernel import Kernel
@@ -14,6 +14,28 @@ from foretell.models.tabular import load
 from foretell.plans.encode import MAX_FEATURES, Encoded, EncodingError
 
 
+#: Pairs of rows that the driver compares by itself; more are compared in tasks, with the same result.
+LOCAL_PAIRS = 20_000_000
+
+
+def in_tasks(spark: SparkSession, x: np.ndarray, f: Callable[[np.ndarray], np.ndarray], others: int) -> np.ndarray:
+    """``f`` of the rows of ``x`` (bounded by the sample that models are fitted on), each of which it compares with ``others`` rows."""
+    if len(x) * others <= LOCAL_PAIRS:
+        return f(x)
+    sent = spark.sparkContext.broadcast((f, x))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, rows = sent.value
+        for b in batches:
+            if b.num_rows:
+                found = g(rows[b.column(0).to_numpy()]).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(found), pa.list_(pa.float64()))], names=["id", "v"])
+
+    out = spark.range(0, len(x), 1, -(-len(x) // 512)).mapInArrow(each, "id long, v array<double>").toArrow().sort_by("id")
+    v = np.asarray(out.column("v").combine_chunks().flatten()).reshape(len(x), -1)
+    return v[:, 0] if v.shape[1] == 1 else v
+
+
 class Model:
     """A classifier or regressor of an encoded table; fitting happens once and is shared by what is asked of it."""
 
@@ -38,7 +60,7 @@ class Model:
             self.fitted = gbm.fit(self.x, self.y)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return self.fitted.probabilities(x)
+        return in_tasks(self.e.df.sparkSession, x, self.fitted.probabilities, len(self.x))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Predicted value: the likeliest class, or the regression's mean."""

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foretell.models.kernel import standardiser
-from foretell.models.scoring import map_vectors
+from foretell.models.scoring import in_tasks, map_vectors
 from foretell.plans.encode import Encoded, EncodingError
 from foretell.sources.shared import parquet_batches, written
 
@@ -25,18 +25,31 @@ def _mean_of_nearest(z: np.ndarray, support: np.ndarray, k: int, same: np.ndarra
     return np.sqrt(np.sort(np.partition(d2, k - 1, axis=1)[:, :k], axis=1)).mean(1)
 
 
+class OwnDistances:
+    """Mean distance of support rows, given by their places (a column), to their k nearest others."""
+
+    def __init__(self, z: np.ndarray, k: int):
+        self.z, self.k = z, k
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        at = places[:, 0].astype(np.int64)
+        return np.concatenate([_mean_of_nearest(self.z[at[lo : lo + 512]], self.z, self.k, at[lo : lo + 512]) for lo in range(0, len(at), 512)])
+
+
 class Reference:
     """How far support rows lie from each other: the yardstick for trust."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, spark: SparkSession | None = None):
+        """``spark``: a session whose executors compare large supports."""
         n = len(x)
         if n < 2:
             raise EncodingError("need >= 2 labeled rows for a distance reference")
         self.mean, self.sd = standardiser(x)
         self.z = (x - self.mean) / self.sd
         self.k = min(max(n - 1, 1), 5)
-        own = np.concatenate([_mean_of_nearest(self.z[lo : lo + 512], self.z, self.k, np.arange(lo, min(n, lo + 512))) for lo in range(0, n, 512)])
-        self.mu, self.sigma, self.most = own.mean(), max(own.std(), 1e-9), own.max()
+        places, own = np.arange(n, dtype=float)[:, None], OwnDistances(self.z, self.k)
+        found = in_tasks(spark, places, own, n) if spark else own(places)
+        self.mu, self.sigma, self.most = found.mean(), max(found.std(), 1e-9), found.max()
 
     def trust(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(trust, ood): 1 - z / 2 between 0 and 1; out of distribution beyond the farthest support row or z > 2."""
@@ -48,7 +61,7 @@ class Reference:
 
 def trust_of(e: Encoded, rows: DataFrame) -> DataFrame:
     """(row_id, trust, ood) of rows of an encoded table."""
-    ref = Reference(e.support()[1])
+    ref = Reference(e.support()[1], rows.sparkSession)
 
     def f(x: np.ndarray) -> dict:
         trust, ood = ref.trust(x)

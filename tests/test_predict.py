@@ -149,3 +149,12 @@ def test_a_fit_does_not_hang_on_the_order_of_rows():
     assert gbm.fit(x, np.zeros(500)).predict(x).tolist() == [0.0] * 500 and gbm.fit(x[:1], y[:1]).predict(x[:1])[0] == pytest.approx(y[0])
     wide = gbm.cuts_of(np.arange(1000.0))
     assert len(wide) == gbm.BINS - 1 and (np.diff(wide) > 0).all() and gbm.cuts_of(np.ones(5)).tolist() == []
+
+
+def test_large_supports_are_compared_in_tasks(spark, monkeypatch):
+    from foretell.models import scoring
+
+    t = frame(spark, [(float(g % 17), float(g % 23), g % 3) for g in range(1, 1200)] + [(3.5, 9.0, None)], "a double, b double, y int")
+    here = by_id(predict_trust(t, "y", key="id")), importance(t, "y", key="id").collect(), conformal_threshold(t, "y", 0.9, key="id")
+    monkeypatch.setattr(scoring, "LOCAL_PAIRS", 1000)
+    assert (by_id(predict_trust(t, "y", key="id")), importance(t, "y", key="id").collect(), conformal_threshold(t, "y", 0.9, key="id")) == here
