@@ -64,6 +64,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def publish(store, tmp: str, path: str) -> None:
+    """Give a finished file its name; one that an earlier attempt of the task has left there holds the same bytes and goes."""
+    from pyarrow import fs
+
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)
+    store.move(tmp, path)
+
+
 def by_part(df: DataFrame, name: str, parts: int, outlive: bool = False) -> str:
     """Write rows so that those of one partition (column part) of another table are in a folder of their own, by ``row``; the path."""
     path = (kept_path if outlive else new_path)(df.sparkSession, name)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import filesystem, n_tasks, new_path, partition_offsets, small_batches
+from ._common import filesystem, n_tasks, new_path, partition_offsets, publish, small_batches
 
 END_ID = 2
 MASK = 0xA282EAD8
@@ -180,7 +180,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, file
                         n, ids, at = n + 1, ids + len(enc) // size, at + len(record)
         if n:
             for kind in (".rec", ".idx"):
-                store.move(tmp + kind, f"{root}/part-{part:06d}{kind}")
+                publish(store, tmp + kind, f"{root}/part-{part:06d}{kind}")
         else:
             store.delete_file(tmp + ".rec")
             store.delete_file(tmp + ".idx")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_part, filesystem, map_rows, new_path, read_part, scan_only, scope, small_batches, spread_join, written
+from ._common import by_part, filesystem, map_rows, new_path, publish, read_part, scan_only, scope, small_batches, spread_join, written
 
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -145,7 +145,7 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
             if role:
                 raise ValueError("the pages were not read in the same partitions again")
             if out is not None:
-                store.move(tmp, f"{root}/payloads-{ctx.partitionId():06d}.warc.gz")
+                publish(store, tmp, f"{root}/payloads-{ctx.partitionId():06d}.warc.gz")
 
         rows.select("page_id", "url", "payload", "sha256", "size", "uid").mapInArrow(write, "uid long, page_id long, sha256 string, header binary").write.option("compression", "zstd").parquet(f"{path}/headers")
     return path
