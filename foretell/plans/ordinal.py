@@ -21,9 +21,9 @@ def with_row_id(df: DataFrame, order_by: list[str], name: str = "row_id") -> Dat
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     held = written(ranged.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
-    counts = {r["__part"]: r["count"] for r in held.groupBy("__part").count().collect()}
-    start, at = {}, 1
-    for p in sorted(counts):
-        start[p], at = at, at + counts[p]
-    first = F.element_at(F.create_map(*[F.lit(v) for p in start.items() for v in p]), F.col("__part")) if start else F.lit(0)
-    return held.withColumn(name, (first + F.col("__place")).cast("long")).drop("__part", "__place")
+    starts, at = [], 1
+    for r in sorted(held.groupBy("__part").count().collect(), key=lambda r: r["__part"]):
+        starts.append((r["__part"], at))
+        at += r["count"]
+    first = df.sparkSession.createDataFrame(starts, "__part int, __first long")  # a row a partition
+    return held.join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + F.col("__place")).drop("__part", "__place", "__first")
