@@ -359,15 +359,18 @@ class Pieces:
 
     def plain(self, text: str) -> str:
         """The text in its normal form, with spaces and without the marker in front: what decoding is to give."""
-        text = self.normal_form(text).replace(MARKER, " ")
-        return text.lstrip(" ") if self.rules.remove_extra else text[1:] if self.rules.dummy_prefix else text
+        return self.plain_form(self.normal_form(text))
 
-    def segments(self, text: str) -> list[str]:
-        """The text in its normal form, cut before each marker that follows another character."""
-        return SEGMENT.findall(self.normal_form(text))
+    def plain_form(self, form: str) -> str:
+        text = form.replace(MARKER, " ")
+        return text.lstrip(" ") if self.rules.remove_extra else text[1:] if self.rules.dummy_prefix else text
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.segments(t or "") for t in texts]
+        return self.encode_forms([self.normal_form(t or "") for t in texts])
+
+    def encode_forms(self, forms: list[str]) -> list[np.ndarray]:
+        """Ids of texts in their normal form, which are cut before each marker that follows another character."""
+        split = [SEGMENT.findall(t) for t in forms]
         new = {s for x in split for s in x}
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
@@ -429,10 +432,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         rows = []
         for lo in range(0, b.num_rows, 500):
             some = b.slice(lo, 500)
-            texts = some.column(1).to_pylist()
-            for doc, text, ids in zip(some.column(0).to_pylist(), texts, m.encode(texts), strict=True):
+            forms = [m.normal_form(t or "") for t in some.column(1).to_pylist()]
+            for doc, form, ids in zip(some.column(0).to_pylist(), forms, m.encode_forms(forms), strict=True):
                 n_bytes = int(m.is_byte[ids].sum()) if len(ids) else 0
-                rows.append((doc, len(ids), n_bytes, ids, zlib.crc32(ids.astype("<u4").tobytes()), m.quick_decode(ids) == m.plain(text or "")))
+                rows.append((doc, len(ids), n_bytes, ids, zlib.crc32(ids.astype("<u4").tobytes()), m.quick_decode(ids) == m.plain_form(form)))
         offsets = np.concatenate(([0], np.cumsum([r[1] for r in rows]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[3] for r in rows])))
         columns = [*zip(*rows, strict=True)]
