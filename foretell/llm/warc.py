@@ -154,8 +154,12 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
 RECORDS = "uid long, page_id long, kind string, sha1 string, sha256 string, refers_to long, content binary"
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archive's WARC files: uid, page_id, kind, sha1, sha256, refers_to, content (null for revisits)."""
+def read_archive(spark: SparkSession, path: str, contents: bool = True) -> DataFrame:
+    """Records of the archive's WARC files: uid, page_id, kind, sha1, sha256, refers_to, content (null for revisits).
+
+    The planner sees no more than the list of files, so a join must be told not to broadcast the records. Without ``contents`` the
+    content is left out, and so is the check of its digests.
+    """
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/payloads-*.warc.gz"))
     names = [(str(s.getPath().getName()),) for s in found]
@@ -172,10 +176,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                     for block, content in records(stream):
                         h = parse_header(block)
                         kind, sha1 = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:")
-                        if kind == "response" and (base32_sha1(content) != sha1 or hashlib.sha256(content).hexdigest() != h["x-payload-sha256"]):
+                        if contents and kind == "response" and (base32_sha1(content) != sha1 or hashlib.sha256(content).hexdigest() != h["x-payload-sha256"]):
                             raise ValueError(f"payload of {h['warc-record-id']} does not match its digest")
                         page, to = h["x-page-id"], h.get("x-refers-to-page")
-                        rows.append((int(h["x-record"]), int(page) if page else None, kind, sha1, h["x-payload-sha256"], int(to) if to else None, content if kind == "response" else None))
+                        rows.append((int(h["x-record"]), int(page) if page else None, kind, sha1, h["x-payload-sha256"], int(to) if to else None, content if contents and kind == "response" else None))
                         size += len(content)
                         if size > 8_000_000 or len(rows) >= 5_000:
                             yield _batch(rows)
@@ -183,7 +187,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return spark.createDataFrame(names, "name string").repartition(len(names)).mapInArrow(read, RECORDS)
+    return spark.createDataFrame(names, "name string").repartition(len(names)).mapInArrow(read, RECORDS).hint("merge")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -199,7 +203,7 @@ def restore(spark: SparkSession, path: str, heads: DataFrame | None = None) -> D
     """
     own = spark.read.parquet(f"{path}/headers")
     heads = own if heads is None else heads
-    payloads = read_archive(spark, path).filter("kind = 'response'").select("sha256", "content").dropDuplicates(["sha256"])
+    payloads = read_archive(spark, path).filter("kind = 'response'").select("sha256", "content").dropDuplicates(["sha256"]).hint("merge")
     crlf = F.lit(bytearray(CRLF))
     joined = spread_join(heads, payloads, ["sha256"], own.groupBy("sha256").agg(F.count("*").alias("n")))
     return joined.select(*[c for c in heads.columns if c not in ("header", "sha256")], F.concat("header", crlf, "content", crlf, crlf).alias("record"))
@@ -210,7 +214,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     are those of the payload in the reconstructed record, type and reference those of the record in the WARC files."""
     spark = pages.sparkSession
     path = write_archive(pages)
-    stored = read_archive(spark, path).select("uid", "kind", "refers_to")
+    stored = read_archive(spark, path, contents=False).select("uid", "kind", "refers_to").hint("merge")
     heads = spark.read.parquet(f"{path}/headers").join(stored, "uid")
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
