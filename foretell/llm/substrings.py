@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_part, filesystem, new_path, read_part, remove, scan_only, scope, small_batches, spread_join, written
+from ._common import by_part, filesystem, new_path, read_part, remove, scan_only, scope, small_batches, written
 
 LENGTH, REACH, GRAM = 200, 128, 16
 CONTEXT = LENGTH - REACH + 1
@@ -486,8 +486,9 @@ def repeats(docs: DataFrame) -> str:
     parts = docs.rdd.getNumPartitions()
     runs = written(_all_runs(docs), "runs")
     of = runs.groupBy("context").agg(F.count("*").alias("n"), F.min("string").alias("a"), F.max("string").alias("b")).filter("n > 1")
-    of = written(of.select("context", "n", (F.col("a") != F.col("b")).alias("mixed")), "contexts")
-    shared = written(spread_join(runs, of.drop("n"), ["context"], of), "shared-runs")
+    # Written, so that the join has two plain shuffled sides and a hot context is split at run time.
+    of = written(of.select("context", (F.col("a") != F.col("b")).alias("mixed")), "contexts")
+    shared = written(runs.join(of, "context"), "shared-runs")
     remove(spark, runs, of)
     mixed = shared.filter("mixed")
     variants = mixed.groupBy("context", "string").agg(F.count("*").alias("times"), F.min(F.struct("part", "row", "start", "count", "offset")).alias("at"))
