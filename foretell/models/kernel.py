@@ -12,21 +12,38 @@ import numpy as np
 WIDTH, EVEN = 0.163, 0.05
 
 
-def standardiser(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population deviation (1 where it is 0) of each column."""
-    sd = x.std(0)
+#: Most distances that are held at a time.
+BLOCK_PAIRS = 1 << 24
+
+
+def block_rows(others: int) -> int:
+    """Rows to compare with so many others at a time."""
+    return max(1, min(512, BLOCK_PAIRS // max(others, 1)))
+
+
+def standardiser(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation (1 where it is 0) of each column; ``n`` tells how many rows each row stands for."""
+    mean, sd = x.mean(0), x.std(0)
+    if n is not None:
+        mean = n @ x / n.sum()
+        sd = np.sqrt(n @ (x - mean) ** 2 / n.sum())
     sd[(x == x[:1]).all(0) | (sd == 0)] = 1.0
-    return x.mean(0), sd
+    return mean, sd
 
 
 class Kernel:
-    def __init__(self, x: np.ndarray, labels: np.ndarray, n_classes: int):
-        self.mean, self.sd = standardiser(x)
+    def __init__(self, x: np.ndarray, labels: np.ndarray, n_classes: int, n: np.ndarray | None = None):
+        """``n``: how many rows each row stands for, one if it is not given."""
+        self.mean, self.sd = standardiser(x, n)
         self.z = (x - self.mean) / self.sd
         self.hot = np.eye(n_classes)[labels]
+        self.n = None if n is None else n.astype(float)
+        if n is not None:
+            self.hot *= n[:, None]
         self.n_classes = n_classes
 
-    def probabilities(self, q: np.ndarray, block: int = 512) -> np.ndarray:
+    def probabilities(self, q: np.ndarray) -> np.ndarray:
+        block = block_rows(len(self.z))
         out = np.empty((len(q), self.n_classes))
         z = (q - self.mean) / self.sd
         h2 = WIDTH * self.z.shape[1]
@@ -35,6 +52,6 @@ class Kernel:
             for j in range(self.z.shape[1]):
                 d2 += (z[lo : lo + block, j, None] - self.z[:, j]) ** 2
             w = np.exp(-(d2 - d2.min(1, keepdims=True)) / (2 * h2))
-            share = w @ self.hot / w.sum(1, keepdims=True)
+            share = w @ self.hot / (w.sum(1) if self.n is None else w @ self.n)[:, None]
             out[lo : lo + block] = (1 - EVEN) * share + EVEN / self.n_classes
         return out

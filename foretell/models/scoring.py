@@ -39,25 +39,31 @@ def in_tasks(spark: SparkSession, x: np.ndarray, f: Callable[[np.ndarray], np.nd
 class Model:
     """A classifier or regressor of an encoded table; fitting happens once and is shared by what is asked of it."""
 
-    def __init__(self, e: Encoded, rows: slice = slice(None)):
+    def __init__(self, e: Encoded, rows: slice | None = None):
+        """``rows``: which of the support rows, in order of row_id; all if not given. The model keeps their vectors in ``x``, with
+        how many rows each stands for in ``n`` (None: one)."""
         e.require_support()
         self.e = e
         self.classify = e.is_classification()
-        self.row_id, x, y = e.support()
-        self.x, self.y = x[rows], y[rows]
+        if rows is None:
+            self.x, y, self.n = e.grouped()
+        else:
+            self.x, y, self.n = e.support()[1][rows], e.support()[2][rows], None
         if self.classify:
             if e.n_features > MAX_FEATURES:
                 raise EncodingError(f"{e.n_features} features; the classifier takes {MAX_FEATURES} at most")
             self.values = np.array(e.classes())
-            labels = np.searchsorted(self.values, self.y)
+            labels = np.searchsorted(self.values, y)
             conf = e.df.sparkSession.conf
             weights, config = (conf.get(f"spark.foretell.{k}", None) for k in ("model", "config"))
             if weights and config:  # an in-context network, where its files are given
-                self.fitted = load(weights, config).read(self.x, labels, len(self.values))
+                each = 1 if self.n is None else self.n
+                self.fitted = load(weights, config).read(np.repeat(self.x, each, 0), np.repeat(labels, each), len(self.values))
             else:
-                self.fitted = Kernel(self.x, labels, len(self.values))
+                self.fitted = Kernel(self.x, labels, len(self.values), self.n)
         else:
-            self.fitted = gbm.fit(self.x, self.y)
+            each = 1 if self.n is None else self.n
+            self.fitted = gbm.fit(np.repeat(self.x, each, 0), np.repeat(y, each))
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return in_tasks(self.e.df.sparkSession, x, self.fitted.probabilities, len(self.x))

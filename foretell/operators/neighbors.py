@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foretell.models.kernel import standardiser
+from foretell.models.kernel import block_rows, standardiser
 from foretell.models.scoring import in_tasks, map_vectors
 from foretell.plans.encode import Encoded, EncodingError
 from foretell.sources.shared import parquet_batches, written
@@ -33,35 +33,42 @@ class OwnDistances:
 
     def __call__(self, places: np.ndarray) -> np.ndarray:
         at = places[:, 0].astype(np.int64)
-        return np.concatenate([_mean_of_nearest(self.z[at[lo : lo + 512]], self.z, self.k, at[lo : lo + 512]) for lo in range(0, len(at), 512)])
+        some = block_rows(len(self.z))
+        return np.concatenate([_mean_of_nearest(self.z[at[lo : lo + some]], self.z, self.k, at[lo : lo + some]) for lo in range(0, len(at), some)])
 
 
 class Reference:
     """How far support rows lie from each other: the yardstick for trust."""
 
-    def __init__(self, x: np.ndarray, spark: SparkSession | None = None):
-        """``spark``: a session whose executors compare large supports."""
-        n = len(x)
-        if n < 2:
+    def __init__(self, x: np.ndarray, spark: SparkSession | None = None, n: np.ndarray | None = None):
+        """``spark``: a session whose executors compare large supports. ``n``: how many rows each row stands for, one if not given."""
+        if (len(x) if n is None else n.sum()) < 2:
             raise EncodingError("need >= 2 labeled rows for a distance reference")
-        self.mean, self.sd = standardiser(x)
+        self.mean, self.sd = standardiser(x, n)
         self.z = (x - self.mean) / self.sd
-        self.k = min(max(n - 1, 1), 5)
-        places, own = np.arange(n, dtype=float)[:, None], OwnDistances(self.z, self.k)
-        found = in_tasks(spark, places, own, n) if spark else own(places)
-        self.mu, self.sigma, self.most = found.mean(), max(found.std(), 1e-9), found.max()
+        self.k = int(min(max((len(x) if n is None else n.sum()) - 1, 1), 5))
+        places = np.arange(len(x), dtype=float)[:, None]
+        if n is not None:  # beside a row itself, no more than k equal ones can be among its k nearest
+            copies = np.minimum(n, self.k + 1)
+            self.z, places = np.repeat(self.z, copies, 0), (np.cumsum(copies) - copies).astype(float)[:, None]
+        own = OwnDistances(self.z, self.k)
+        found = in_tasks(spark, places, own, len(self.z)) if spark else own(places)
+        self.mu, self.most = np.average(found, weights=n), found.max()
+        self.sigma = max(np.sqrt(np.average((found - self.mu) ** 2, weights=n)), 1e-9)
 
     def trust(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(trust, ood): 1 - z / 2 between 0 and 1; out of distribution beyond the farthest support row or z > 2."""
         z = (x - self.mean) / self.sd
-        d = np.concatenate([_mean_of_nearest(z[lo : lo + 512], self.z, self.k) for lo in range(0, len(z), 512)]) if len(z) else np.zeros(0)
+        some = block_rows(len(self.z))
+        d = np.concatenate([_mean_of_nearest(z[lo : lo + some], self.z, self.k) for lo in range(0, len(z), some)]) if len(z) else np.zeros(0)
         score = (d - self.mu) / self.sigma
         return np.clip(1 - np.maximum(score / 2, 0), 0, 1), (d > self.most) | (score > 2)
 
 
 def trust_of(e: Encoded, rows: DataFrame) -> DataFrame:
     """(row_id, trust, ood) of rows of an encoded table."""
-    ref = Reference(e.support()[1], rows.sparkSession)
+    x, _, n = e.grouped()
+    ref = Reference(x, rows.sparkSession, n)
 
     def f(x: np.ndarray) -> dict:
         trust, ood = ref.trust(x)

@@ -66,7 +66,7 @@ def automl(table, target: str | None = None, **options) -> DataFrame:
     """
     e = encoded(table, target, **options)
     model = Model(e)
-    ref = Reference(model.x, e.df.sparkSession) if not model.classify and e.n_support >= 2 else None
+    ref = Reference(model.x, e.df.sparkSession, model.n) if not model.classify and e.n_support >= 2 else None
     return predictions(e, model, e.queries(), ref).select("row_id", "prediction", "confidence", "task")
 
 
@@ -81,7 +81,7 @@ def predict_trust(table, target: str | None = None, **options) -> DataFrame:
     if e.n_support < 2:
         raise EncodingError("need >= 2 labeled rows for a distance reference")
     model = Model(e)
-    return predictions(e, model, e.queries(), Reference(model.x, e.df.sparkSession), rounded=False).select("row_id", "prediction", "confidence", "trust", "ood", "task")
+    return predictions(e, model, e.queries(), Reference(model.x, e.df.sparkSession, model.n), rounded=False).select("row_id", "prediction", "confidence", "trust", "ood", "task")
 
 
 def anomaly(table, target: str | None = None, model: Model | None = None, **options) -> DataFrame:

@@ -28,8 +28,8 @@ MAX_LEVELS, MAX_DISTINCT_SHARE, MIN_FOR_SHARE = 50, 0.9, 5
 SURELY_MANY = 500
 #: Words that stand for true and false; fixed values.
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "t"), ("false", "no", "n", "f")
-#: Most support rows that a model is fitted on, where ``sample_support`` says nothing else: those of the least hash of their key.
-MAX_SUPPORT = 50_000
+#: With more support rows than this, equal ones are brought to the driver once, with their number.
+MANY_SUPPORT = 50_000
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -92,7 +92,7 @@ class Encoded:
     n: int
     n_support: int
     labels: list[str] | None = None
-    sample: int = MAX_SUPPORT
+    sample: int | None = None
     _held: dict = field(default_factory=dict)
 
     @property
@@ -110,11 +110,11 @@ class Encoded:
         return self.table.join(self.ids.select(F.col("row_id").alias("__row_id"), *names), same).drop(*names)
 
     def support(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row_id, x, y) of the support rows that models are fitted on, in order of row_id, on the driver: all, or, beyond
-        ``sample`` of them, those of the least hash of their key."""
+        """(row_id, x, y) of the support rows, in order of row_id, on the driver: all, or, if ``sample`` is set and there are
+        more, those of the least hash of their key."""
         if "support" not in self._held:
             rows = self.ids.filter("support")
-            if self.n_support > self.sample:
+            if self.sampled:
                 cut = rows.select("hash").orderBy("hash").limit(self.sample).agg(F.max("hash")).first()[0]
                 rows = rows.filter(F.col("hash") <= cut)
                 warnings.warn(f"the model is fitted on {self.sample} of {self.n_support} labeled rows", stacklevel=2)
@@ -123,6 +123,21 @@ class Encoded:
             self._held["support"] = rows.column("row_id").to_numpy(), x, np.array(rows.column("y").to_numpy(zero_copy_only=False), float)
         return self._held["support"]
 
+    @property
+    def sampled(self) -> bool:
+        return self.sample is not None and self.n_support > self.sample
+
+    def grouped(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(x, y, number of rows) of the support, on the driver. Of many rows equal ones are counted together, in order of x and y;
+        otherwise each stands alone, and the numbers are None."""
+        if self.sampled or self.n_support <= MANY_SUPPORT:
+            return *self.support()[1:], None
+        if "grouped" not in self._held:
+            rows = self.df.filter("support").groupBy("x", "y").count().orderBy("x", "y").toArrow()
+            x = np.array(rows.column("x").combine_chunks().flatten(), float).reshape(rows.num_rows, self.n_features)
+            self._held["grouped"] = x, np.array(rows.column("y").to_numpy(), float), rows.column("count").to_numpy()
+        return self._held["grouped"]
+
     def queries(self) -> DataFrame:
         return self.df.filter("not support")
 
@@ -168,7 +183,7 @@ def encode(table: DataFrame | str, target: str | None = None, key: str | list[st
     """Encode a table. ``key`` columns are no features; ``row_id`` numbers the rows in order of ``order_by`` (default: key).
 
     ``sample_support``: fit models on no more than so many support rows, those of the least hash of their key columns
-    (``MAX_SUPPORT`` if it is not given); all rows are encoded, scored and counted all the same.
+    (on all if it is not given); all rows are encoded, scored and counted all the same.
     """
     df = resolve(table)
     key = [key] if isinstance(key, str) else list(key)
@@ -241,4 +256,4 @@ def encode(table: DataFrame | str, target: str | None = None, key: str | list[st
     narrow = df.select(*[col(c).alias(f"__o{i}") for i, c in enumerate(order)], *[col(c).alias(f"__k{i}") for i, c in enumerate(columns)], F.xxhash64(*[col(c) for c in columns]).alias("hash"),
                        support.alias("support") if target else F.lit(True).alias("support"), y.alias("y"), F.array(*values).alias("x"))
     ids = with_row_id(narrow, [f"__o{i}" for i in range(len(order))]).drop(*[f"__o{i}" for i in range(len(order))])
-    return Encoded(ids.select("row_id", "support", "y", "x"), df, ids.select("row_id", "support", "y", "x", "hash", *[f"__k{i}" for i in range(len(columns))]), columns, target, features, kinds, levels, notes, is_int, first["n"], first["n_support"], labels, sample_support or MAX_SUPPORT)
+    return Encoded(ids.select("row_id", "support", "y", "x"), df, ids.select("row_id", "support", "y", "x", "hash", *[f"__k{i}" for i in range(len(columns))]), columns, target, features, kinds, levels, notes, is_int, first["n"], first["n_support"], labels, sample_support)

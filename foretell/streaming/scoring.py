@@ -41,7 +41,7 @@ def score_stream(stream: DataFrame, support: DataFrame, target: str, key: list[s
 
     e, x = encoder_of(support, target, key)
     model = Model(e)
-    scorer = Scorer(model, Reference(model.x, support.sparkSession) if e.n_support >= 2 else None)
+    scorer = Scorer(model, Reference(model.x, support.sparkSession, model.n) if e.n_support >= 2 else None)
     d, names = e.n_features, ["prediction", "confidence", "trust", "ood"]
     rows = stream.select(*key, x.alias("x"))
 

@@ -136,6 +136,44 @@ def test_models_are_fitted_on_a_sample_and_score_all_rows(spark):
     assert len(kept & {tuple(r) for r in x.tolist()}) >= 9  # the sample hangs on the keys, not on the rows' numbers
 
 
+def test_many_labeled_rows_all_count(spark):
+    import warnings
+
+    import numpy as np
+
+    from foretell.models.kernel import EVEN, WIDTH
+    from foretell.plans.encode import MANY_SUPPORT
+
+    n = MANY_SUPPORT + 500
+    a, b = (np.arange(n) * 7919 % 97).astype(float), (np.arange(n) * 31 % 11).astype(float)
+    a[-400:] = 500.0  # the last rows are far from all others, and of a class of their own
+    y = np.where(np.arange(n) < n - 400, np.arange(n) * 13 % 2, 2)
+    t = spark.range(n).selectExpr("id", f"cast(if(id < {n - 400}, id * 7919 % 97, 500) as double) a", "cast(id * 31 % 11 as double) b", f"cast(if(id < {n - 400}, id * 13 % 2, 2) as int) y")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = {r.feature: r.contribution for r in explain_row(t, "y", 1, key="id").collect()}
+    x = np.stack([a, b], 1)
+    rows = np.tile(x[0], (3, 1))
+    rows[1, 0], rows[2, 1] = a.mean(), b.mean()
+    d2 = (((rows[:, None] - x) / x.std(0)) ** 2).sum(2)
+    w = np.exp(-(d2 - d2.min(1, keepdims=True)) / (2 * WIDTH * 2))
+    p = (1 - EVEN) * np.stack([w[:, y == c].sum(1) for c in range(3)], 1) / w.sum(1, keepdims=True) + EVEN / 3
+    of = p[:, p[0].argmax()]
+    assert got == {"a": pytest.approx(of[0] - of[1], abs=1e-12), "b": pytest.approx(of[0] - of[2], abs=1e-12)}
+
+
+def test_equal_rows_may_be_counted_together(spark, monkeypatch):
+    from foretell.plans import encode
+
+    t = frame(spark, [(float(g % 5), float(g * g % 7), g % 3 if g % 10 else None) for g in range(1, 300)], "a double, b double, y int")
+    r = frame(spark, [(float(g % 5), float(g * g % 7), g * 0.37 % 5 if g % 10 else None) for g in range(1, 300)], ABY)
+    ask = lambda: [sorted(map(tuple, f.collect())) for f in (predict_trust(t, "y", key="id"), explain_row(t, "y", 4, key="id"), anomaly(t, "y", key="id"), importance(t, "y", key="id"), predict_trust(r, "y", key="id"), explain_row(r, "y", 4, key="id"), conformal_regress(r, "y", 0.9, key="id"))]
+    here = ask()
+    monkeypatch.setattr(encode, "MANY_SUPPORT", 20)
+    for one, two in zip(here, ask(), strict=True):
+        assert len(one) == len(two) and all(v == (pytest.approx(u, abs=1e-9) if isinstance(u, float) else u) for a, b in zip(one, two, strict=True) for u, v in zip(a, b, strict=True))
+
+
 def test_a_fit_does_not_hang_on_the_order_of_rows():
     import numpy as np
 
