@@ -54,24 +54,38 @@ def _term(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.floor(s * s / (n + L2) / ONE)
 
 
+def unit_of(most: float) -> float:
+    """What the whole numbers count, by the largest absolute target."""
+    return float(most) / ONE or 1.0
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Boosted:
+    unit = unit_of(np.abs(y).max())
+    return fit_sums(x, np.floor(y / unit + 0.5), np.ones(len(x)), unit)
+
+
+def fit_sums(x: np.ndarray, sums: np.ndarray, counts: np.ndarray, unit: float) -> Boosted:
+    """A fit to rows that stand for ``counts`` equal ones each, whose targets in whole numbers of ``unit`` add up to ``sums``. The trees
+    are those of the single rows: all that a tree asks of rows are such sums and counts."""
     n, d = x.shape
-    unit = float(np.abs(y).max()) / ONE or 1.0
-    q = np.floor(y / unit + 0.5)
-    model = Boosted(unit, int(np.floor(q.sum() / n + 0.5)))
-    r = q - model.base
+    model = Boosted(unit, int(np.floor(sums.sum() / counts.sum() + 0.5)))
+    r = sums - counts * model.base
     cuts = [cuts_of(x[:, j]) for j in range(d)]
     place = [np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)]  # cuts below the row's value
+    # Rows between the same cuts go together through all trees.
+    places, cell = np.unique(np.stack(place, 1).astype(np.uint8), axis=0, return_inverse=True)
+    cell, n = cell.ravel(), len(places)
+    r, counts, place = np.bincount(cell, r, n), np.bincount(cell, counts, n), places.T.astype(np.int64)
     for _ in range(TREES):
-        node, features, at = np.ones(n, np.int64), np.full(1 << DEPTH, -1), np.zeros(1 << DEPTH)
+        node, features, at, after = np.ones(n, np.int64), np.full(1 << DEPTH, -1), np.zeros(1 << DEPTH), np.zeros(1 << DEPTH, np.int64)
         for level in range(DEPTH):
             first, size = 1 << level, 1 << level
-            best = _term(np.bincount(node - first, r, size), np.bincount(node - first, minlength=size))  # a node without a split, then its best so far
+            best = _term(np.bincount(node - first, r, size), np.bincount(node - first, counts, size))  # a node without a split, then its best so far
             for j, c in enumerate(cuts):
                 if not len(c):
                     continue
                 key, shape = (node - first) * (len(c) + 1) + place[j], (size, len(c) + 1)
-                s, k = (np.bincount(key, w, size * shape[1]).reshape(shape) for w in (r, None))
+                s, k = (np.bincount(key, w, size * shape[1]).reshape(shape) for w in (r, counts))
                 # right of cut i are the rows with more than i cuts below them
                 right_s, right_n = (np.cumsum(a[:, ::-1], 1)[:, ::-1][:, 1:] for a in (s, k))
                 total_s, total_n = s.sum(1, keepdims=True), k.sum(1, keepdims=True)
@@ -80,11 +94,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> Boosted:
                 top = gain.argmax(1)
                 for i in np.flatnonzero(gain[np.arange(size), top] > best).tolist():
                     alike = c[right_n[i] == right_n[i, top[i]]]
-                    best[i], features[first + i], at[first + i] = gain[i, top[i]], j, (alike[0] + alike[-1]) / 2
+                    best[i], features[first + i], at[first + i], after[first + i] = gain[i, top[i]], j, (alike[0] + alike[-1]) / 2, top[i]
             j = features[node]
-            node = 2 * node + ((x[np.arange(n), j] > at[node]) & (j >= 0))
+            node = 2 * node + ((places[np.arange(n), j] > after[node]) & (j >= 0))
         leaf = node - (1 << DEPTH)
-        values = np.floor(RATE * np.bincount(leaf, r, 1 << DEPTH) / (np.bincount(leaf, minlength=1 << DEPTH) + L2) + 0.5)
+        values = np.floor(RATE * np.bincount(leaf, r, 1 << DEPTH) / (np.bincount(leaf, counts, 1 << DEPTH) + L2) + 0.5)
         model.trees.append((features, at, values))
-        r = r - values[leaf]
+        r = r - counts * values[leaf]
     return model

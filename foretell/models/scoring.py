@@ -45,7 +45,10 @@ class Model:
         e.require_support()
         self.e = e
         self.classify = e.is_classification()
-        if rows is None:
+        sums = rows is None and e.many and not self.classify
+        if sums:
+            self.x, total, self.n, unit = e.summed()
+        elif rows is None:
             self.x, y, self.n = e.grouped()
         else:
             self.x, y, self.n = e.support()[1][rows], e.support()[2][rows], None
@@ -62,8 +65,7 @@ class Model:
             else:
                 self.fitted = Kernel(self.x, labels, len(self.values), self.n)
         else:
-            each = 1 if self.n is None else self.n
-            self.fitted = gbm.fit(np.repeat(self.x, each, 0), np.repeat(y, each))
+            self.fitted = gbm.fit_sums(self.x, total, self.n, unit) if sums else gbm.fit(self.x, y)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return in_tasks(self.e.df.sparkSession, x, self.fitted.probabilities, len(self.x))

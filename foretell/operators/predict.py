@@ -71,7 +71,9 @@ def automl(table, target: str | None = None, **options) -> DataFrame:
 
 
 def impute(table, target: str | None = None, **options) -> DataFrame:
-    return automl(table, target, **options).select("row_id", F.col("prediction").alias("imputed"))
+    """(row_id, imputed): the predictions of :func:`automl` alone."""
+    e = encoded(table, target, **options)
+    return predictions(e, Model(e), e.queries()).select("row_id", F.col("prediction").alias("imputed"))
 
 
 def predict_trust(table, target: str | None = None, **options) -> DataFrame:

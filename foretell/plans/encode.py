@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foretell.models import gbm
 from foretell.plans.ordinal import with_row_id
 from foretell.sources.tables import key_of, resolve
 
@@ -127,10 +128,14 @@ class Encoded:
     def sampled(self) -> bool:
         return self.sample is not None and self.n_support > self.sample
 
+    @property
+    def many(self) -> bool:
+        return self.n_support > MANY_SUPPORT and not self.sampled
+
     def grouped(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """(x, y, number of rows) of the support, on the driver. Of many rows equal ones are counted together, in order of x and y;
         otherwise each stands alone, and the numbers are None."""
-        if self.sampled or self.n_support <= MANY_SUPPORT:
+        if not self.many:
             return *self.support()[1:], None
         if "grouped" not in self._held:
             rows = self.df.filter("support").groupBy("x", "y").count().orderBy("x", "y").toArrow()
@@ -138,6 +143,17 @@ class Encoded:
             self._held["grouped"] = x, np.array(rows.column("y").to_numpy(), float), rows.column("count").to_numpy()
         return self._held["grouped"]
 
+    def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """(x, sum of the targets, number of rows, unit) of the distinct vectors of the support, the targets as whole numbers of the
+        unit: what boosted trees are fitted on."""
+        if "summed" not in self._held:
+            rows = self.df.filter("support")
+            unit = gbm.unit_of(rows.agg(F.max(F.abs("y"))).first()[0])
+            rows = rows.groupBy("x").agg(F.sum(F.floor(F.col("y") / F.lit(unit) + 0.5)).alias("s"), F.count("*").alias("n")).orderBy("x").toArrow()
+            x = np.array(rows.column("x").combine_chunks().flatten(), float).reshape(rows.num_rows, self.n_features)
+            self._held["summed"] = x, rows.column("s").to_numpy().astype(float), rows.column("n").to_numpy(), unit
+        return self._held["summed"]
+
     def queries(self) -> DataFrame:
         return self.df.filter("not support")
 

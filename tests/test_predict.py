@@ -162,6 +162,38 @@ def test_many_labeled_rows_all_count(spark):
     assert got == {"a": pytest.approx(of[0] - of[1], abs=1e-12), "b": pytest.approx(of[0] - of[2], abs=1e-12)}
 
 
+def test_trees_of_many_labeled_rows(spark):
+    import warnings
+
+    import numpy as np
+
+    from foretell.models import gbm
+    from foretell.plans.encode import MANY_SUPPORT
+
+    n = MANY_SUPPORT + 500
+    t = spark.range(n + 50).selectExpr("id", "cast(id % 90 as double) a", "cast(id * 7 % 13 as double) b", f"if(id < {n}, cast(id * 7919 % 1000 + id % 90 as double) / 4, null) y")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = [r.imputed for r in impute(t, "y", key="id").orderBy("row_id").collect()]
+    i = np.arange(n + 50)
+    x, y = np.stack([i % 90, i * 7 % 13], 1).astype(float), (i * 7919 % 1000 + i % 90) / 4.0
+    want = gbm.fit(x[:n], y[:n]).predict(x[n:])
+    assert got == (np.floor(want * 10 + 0.5) / 10).tolist()
+
+
+def test_a_fit_to_sums_is_the_fit_to_rows():
+    import numpy as np
+
+    from foretell.models import gbm
+
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, [100, 5, 3], (3000, 3)).astype(float), rng.normal(size=3000)
+    unit = gbm.unit_of(np.abs(y).max())
+    v, at = np.unique(x, axis=0, return_inverse=True)
+    one, two = gbm.fit(x, y), gbm.fit_sums(v, np.bincount(at.ravel(), np.floor(y / unit + 0.5)), np.bincount(at.ravel()), unit)
+    assert len(v) < 1500 and (one.predict(x) == two.predict(x)).all()
+
+
 def test_equal_rows_may_be_counted_together(spark, monkeypatch):
     from foretell.plans import encode
 
