@@ -35,8 +35,9 @@ from ._common import filesystem, n_tasks, new_path, partition_offsets, publish,
 END_ID = 2
 MASK = 0xA282EAD8
 ENTRY = "<qqqI"
-#: Words whose ids a worker remembers; beyond, it starts anew. A bound on memory only, the ids are the same.
-MEMO = 400_000
+#: Words whose ids a worker remembers anew before it forgets those not met since as many were new. A bound on memory only, the
+#: ids are the same.
+MEMO = 300_000
 #: Bytes of input that one file is meant to hold.
 FILE_BYTES = 128 << 20
 
@@ -97,36 +98,66 @@ class WordEncoder:
         rules = json.loads(self.tokenizer.to_str())
         self.plain = [x["type"] for x in rules["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == SPLIT if rules["normalizer"] and "normalizers" in rules["normalizer"] else False
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.pack = {n: struct.Struct(f"<{n}{'H' if self.width == '<u2' else 'I'}").pack for n in range(1, 33)}
+        # Each memory has a present and a former generation; what is met in the former one moves to the present one.
         self.memo: dict[bytes, bytes] = {}
+        self.former: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.former_parts: dict[str, bytes] = {}
+
+    def packed(self, ids: list[int]) -> bytes:
+        pack = self.pack.get(len(ids))
+        return pack(*ids) if pack else np.array(ids, self.width).tobytes()
 
     def part(self, text: str) -> bytes:
         ids = self.parts.get(text)
         if ids is None:
             if len(self.parts) >= MEMO:
-                self.parts.clear()
-            letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[text] = np.array([t.id for t in self.merge(letters)], self.width).tobytes()
+                self.parts, self.former_parts = {}, self.parts
+            ids = self.former_parts.get(text)
+            if ids is None:
+                letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+                ids = self.packed([t.id for t in self.merge(letters)])
+            self.parts[text] = ids
         return ids
 
     def word(self, word: bytes) -> bytes:
         text = word.decode()
+        if self.plain and text.isascii() and text.isalpha():
+            return self.part(text.lower())
         if self.plain and PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.part, PARTS.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __call__(self, texts: list[str | None], end: int = END_ID) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian numbers."""
-        split = [(t or "").encode().split() for t in texts]
-        new = {w for words in split for w in words}
+    def __call__(self, texts: list[str | bytes | None], end: int = END_ID) -> list[bytes]:
+        """Ids of each text, given as it is or in UTF-8, and the end id, as little-endian numbers."""
+        split = [(t if isinstance(t, bytes) else (t or "").encode()).split() for t in texts]
+        met = set().union(*split)
+        new = met.difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-        for w in new.difference(self.memo):
-            self.memo[w] = self.word(w)
+            self.memo, self.former = {}, self.memo
+            new = met
+        for w in new:
+            ids = self.former.get(w)
+            self.memo[w] = self.word(w) if ids is None else ids
         last, get = np.array([end], self.width).tobytes(), self.memo.__getitem__
         return [b"".join(map(get, words)) + last for words in split]
 
 
+#: Texts that are split into words at a time: so many, or so many bytes. Bounds on memory only.
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
+
+
+def slices(docs: list, texts: list[bytes | None]) -> Iterator[tuple[list, list[bytes | None]]]:
+    """Both lists in slices, each ending with the text that reaches a bound."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts, 1):
+        size += len(t or b"")
+        if size >= SLICE_BYTES or i - lo == SLICE_ROWS or i == len(texts):
+            yield docs[lo:i], texts[lo:i]
+            lo, size = i, 0
+
+
 _encoders: dict[int, WordEncoder] = {}
 
 
@@ -171,9 +202,8 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, file
         tmp = f"{root}/_part-{part:06d}-{ctx.taskAttemptId()}"
         with store.open_output_stream(tmp + ".rec") as data, store.open_output_stream(tmp + ".idx") as index:
             for b in batches:
-                for lo in range(0, b.num_rows, 256):
-                    some = b.slice(lo, 256)
-                    for doc, enc in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+                for docs, texts in slices(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                    for doc, enc in zip(docs, encode(texts), strict=True):
                         record = frame(struct.pack("<Bq", (doc is None) | (size << 4), doc or 0) + enc)
                         data.write(record)
                         index.write(struct.pack(ENTRY, doc or 0, at, ids, len(enc) // size))

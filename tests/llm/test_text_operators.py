@@ -135,6 +135,26 @@ def test_ids_are_the_librarys_on_latin_text():
         assert np.frombuffer(got, mine.width).tolist() == [*t.encode(x, add_special_tokens=False).ids, 2], x
 
 
+def test_words_that_return_are_encoded_once(monkeypatch):
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        mine = records.WordEncoder(f.read())
+    monkeypatch.setattr(records, "MEMO", 50)
+    made, word = [], mine.word
+    monkeypatch.setattr(mine, "word", lambda w: made.append(w) or word(w))
+    texts = [f"the of word{i} other{i}" for i in range(400)]
+    got = [mine([t, None, t.encode()]) for t in texts]
+    assert made.count(b"the") == made.count(b"of") == 1 and len(made) == 802
+    assert all(a == c and len(b) == 2 for a, b, c in got) and len(mine.memo) + len(mine.former) <= 100
+    assert got == [records.WordEncoder(mine.tokenizer.to_str())([t, None, t]) for t in texts[:3]] + got[3:]
+
+
+def test_slices_end_at_either_bound(monkeypatch):
+    monkeypatch.setattr(records, "SLICE_ROWS", 3)
+    monkeypatch.setattr(records, "SLICE_BYTES", 10)
+    texts = [b"a", None, b"b", b"c" * 20, b"d", b"e" * 9, b"f"]
+    assert list(records.slices(list(range(7)), texts)) == [([0, 1, 2], texts[:3]), ([3], texts[3:4]), ([4, 5], texts[4:6]), ([6], texts[6:])] and not list(records.slices([], []))
+
+
 def test_records_ties_nulls_and_empty(spark):
     path = tokenizer_path("word_bpe_49k.json")
     d = spark.createDataFrame([(1, "b"), (1, "a"), (None, "c"), (1, "a")], "doc_id long, text string")
